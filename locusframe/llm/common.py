@@ -10,7 +10,9 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,3 +124,27 @@ def numbered(df: DataFrame, keys: list[Column], index: str, tag: str) -> DataFra
     # One row a partition, at most n: the single task of this window is bounded.
     bases = counts.select("_part", (F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_base"))
     return placed.withColumn("_part", part).join(F.broadcast(bases), "_part").withColumn(index, F.col("_base") + place).drop("_part", "_at", "_base")
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, dict[str, list], pa.Schema]]:
+    """Groups of consecutive rows with equal ``keys``, over the bounds of batches: (key, columns as lists, schema)."""
+    key, rows, schema = None, None, None
+    for batch in batches:
+        schema = batch.schema
+        columns = {c: batch.column(c).to_pylist() for c in schema.names}
+        marks = list(zip(*[columns[k] for k in keys]))
+        first = 0
+        for i in range(1, len(marks) + 1):
+            if i < len(marks) and marks[i] == marks[first]:
+                continue
+            if not marks:
+                break
+            if marks[first] != key:
+                if rows:
+                    yield key, rows, schema
+                key, rows = marks[first], {c: [] for c in columns}
+            for c, v in columns.items():
+                rows[c] += v[first:i]
+            first = i
+    if rows:
+        yield key, rows, schema

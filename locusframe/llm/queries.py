@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from locusframe.llm import secret_scan
 from locusframe.llm.common import table
+from locusframe.llm.jaccard import near_duplicates
 from locusframe.llm.mixing import mix
+from locusframe.llm.packing import pack
 from locusframe.llm.sharding import shard
 
 
@@ -17,7 +20,19 @@ def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), 16)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_shard)}
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_shard, op4_ngram_jaccard_join, op5_best_fit_packing, op10_secret_scan)}
 
 #: None of these results can be had from SQL alone (seeded draws, trained models, files); tests hold them against brute force.
 ORACLES: dict[str, str] = {}
