@@ -22,14 +22,14 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
         if mark == seen or not mark[0]:
             break
         seen = mark
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        # Written first, so that both sides of the join are plain exchanges and a hub's rows can be split.
+        least = save(now.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m"), f"{tag}-least")
+        large = now.join(least, F.col("v") == F.col("n"), "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         head = large.groupBy("u").agg(F.min("v").alias("m"))
         # u itself already points at its least neighbour in ``head``; its others are sent there.
         small = large.join(head, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(head.select("u", F.col("m").alias("v"))).distinct()
         then = save(small, f"{tag}-round")
-        discard(now)
+        discard(now, least)
         now = then
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return nodes.unionByName(nodes.select(F.col("label").alias("node"), "label").distinct())
