@@ -136,14 +136,21 @@ def _gridded(df: DataFrame, by: str, size: int) -> DataFrame:
     return df.repartition(by, "i", "j").sortWithinPartitions(by, "i", "j")
 
 
+def text_digest(text) -> F.Column:
+    """What tells texts apart: their MD5, and that of the empty text for all texts without words."""
+    whole = F.coalesce(text, F.lit(""))
+    return F.unhex(F.md5(F.when(whole.rlike("[^\\x20\\x09-\\x0D]"), whole).otherwise("").cast("binary")))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999, seed: int = 7) -> DataFrame:
-    """One row a document: doc_id, text_id, class_id, n_copies, n_links, n_linked_texts.
+    """One row a document: doc_id, text_id, class_id, n_copies, n_links, n_linked_texts, keeper, digest.
 
     ``text_id`` is the least id with the same text, ``n_copies`` the number of
     documents with it. ``n_links`` counts the other documents whose sets of n-word
     grams have a Jaccard similarity of ``threshold`` or more (copies included),
     ``n_linked_texts`` the different texts among them. ``class_id`` is the least id
-    that a document hangs together with over links.
+    that a document hangs together with over links. ``keeper`` marks the document of
+    each class with that id (of several texts under it the one of least ``digest``).
 
     Texts get TREES labels of DEPTH MinHash values; texts that share a label's
     prefix in a tree meet in a trie node. The prefix is the longest that finds a
@@ -177,15 +184,27 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sized = groups.join(groups.groupBy("label").agg(F.count("*").alias("n")), "label")
     wanted = sized.join(texts.select("digest", "text_id", "n_docs"), "digest")
     # The text of one document for each candidate text; another text under the same id is told off by its digest.
-    with_text = wanted.join(rows, F.col("text_id").eqNullSafe(F.col("doc_id"))).filter(F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("digest"))
+    with_text = wanted.join(rows, F.col("text_id").eqNullSafe(F.col("doc_id"))).filter(text_digest(F.col("text")) == F.col("digest"))
     grid = _gridded(with_text.select("label", "digest", "n", "n_docs", "text"), "label", GROUP_BLOCK)
     checked = save(grid.select("label", "i", "j", "block", "digest", "n_docs", "text").mapInArrow(_verified(n, threshold), "digest binary, linked_docs long, linked_texts long, head binary"), "jaccard-checked")
     links = checked.groupBy("digest").agg(F.sum("linked_docs").alias("linked_docs"), F.sum("linked_texts").alias("linked_texts"))
     final = components(checked.select(F.col("digest").alias("a"), F.col("head").alias("b")), "jaccard-links").withColumnRenamed("node", "digest")
     named = texts.select("digest", "text_id", "n_docs").join(links, "digest", "left").join(final, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     named = save(named, "jaccard-named")
-    least = named.groupBy("label").agg(F.min("text_id").alias("class_id"))
-    facts = named.join(least, "label").select("digest", "text_id", "class_id", F.col("n_docs").alias("n_copies"), (F.coalesce("linked_docs", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"), F.coalesce("linked_texts", F.lit(0)).alias("n_linked_texts"))
-    out = save(sketches.select("doc_id", "digest").join(facts, "digest").drop("digest"), "jaccard")
+    # Ids may all be null: then the least digest is the class's.
+    least = named.groupBy("label").agg(F.min(F.struct(F.col("text_id").isNull().alias("none"), "text_id", "digest")).alias("head"))
+    least = least.select("label", F.col("head.text_id").alias("class_id"), F.col("head.digest").alias("class_digest"))
+    facts = named.join(least, "label").withColumn("heads", F.col("digest") == F.col("class_digest")).select("digest", "heads", "text_id", "class_id", F.col("n_docs").alias("n_copies"), (F.coalesce("linked_docs", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"), F.coalesce("linked_texts", F.lit(0)).alias("n_linked_texts"))
+    keeper = F.col("heads") & F.col("doc_id").eqNullSafe(F.col("class_id"))
+    out = save(sketches.select("doc_id", "digest").join(facts, "digest").withColumn("keeper", keeper).drop("heads"), "jaccard")
     discard(sketches, texts, met, groups, checked, named)
-    return out
+    return out.select("doc_id", "text_id", "class_id", "n_copies", "n_links", "n_linked_texts", "keeper", "digest")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that are their class's keeper, once each if repeated; all columns stay."""
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    kept = near_duplicates(docs, **options).filter("keeper").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_kept")).distinct()
+    marked = docs.withColumn("_digest", text_digest(F.col(text_col)))
+    met = marked.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_kept")), "left_semi")
+    return met.dropDuplicates([id_col, "_digest"]).drop("_digest")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locusframe.llm.common import discard, numbered, save, small_side, uniform, word_count
@@ -125,3 +126,20 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     discard(items, *used)
     named = out.withColumnRenamed("source", "_s").join(small_side(sources, n_sources), F.col("_s").eqNullSafe(F.col("source")))
     return named.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """``docs`` with every row repeated as often as ``mix`` copies it, with all columns.
+
+    Rows meet their copies on (id, source, words); rows equal in these are numbered
+    and get one number of copies each. Texts are dealt once.
+    """
+    picks = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    # As many numbers as rows have the same id, source and words: one, where ids are ids.
+    picks = picks.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
+    rows = docs.withColumn("_size", word_count(F.col(text_col)))
+    met = rows.join(picks, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_words")))
+    alike = W.partitionBy(id_col, source_col, "_size").orderBy(F.lit(0))
+    numbered_rows = met.withColumn("_n", F.when(F.size("_copies") == 1, 1).otherwise(F.row_number().over(alike)))
+    times = F.get("_copies", F.col("_n") - 1)
+    return numbered_rows.filter(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)

@@ -196,3 +196,20 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     kind = x.schema["doc_id"].dataType.simpleString()
     scored = x.mapInArrow(_scored(model), f"doc_id {kind}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def _filtered(model: Discriminant, text_col: str, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(text_col))
+            for first, last in chunks(offsets):
+                good = model.score(statistics(data, offsets[first : last + 1])) >= threshold
+                yield batch.slice(first, last - first).filter(pa.array(good))
+
+    return run
+
+
+def accepted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` predicts 1 for, with all columns; texts are scored where they lie and not moved."""
+    model = fit(measured(docs, id_col, text_col), labels, label_col=label_col)
+    return docs.mapInArrow(_filtered(model, text_col, threshold), docs.schema)

@@ -10,6 +10,7 @@ from locusframe.llm.common import table
 from locusframe.llm.edit_fingerprint import fingerprint_documents
 from locusframe.llm.jaccard import near_duplicates
 from locusframe.llm.mixing import mix
+from locusframe.llm.neighbours import nearest_neighbours
 from locusframe.llm.packing import pack
 from locusframe.llm.quality import classify
 from locusframe.llm.sharding import shard
@@ -23,6 +24,11 @@ def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), 16)
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,7 +57,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_shard, op4_ngram_jaccard_join, op5_best_fit_packing, op6_edit_fingerprint, op7_token_files, op8_quality_classifier, op9_warc_round_trip, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_shard, op3_nearest_neighbours, op4_ngram_jaccard_join, op5_best_fit_packing, op6_edit_fingerprint, op7_token_files, op8_quality_classifier, op9_warc_round_trip, op10_secret_scan)}
 
 #: None of these results can be had from SQL alone (seeded draws, trained models, files); tests hold them against brute force.
 ORACLES: dict[str, str] = {}

@@ -180,3 +180,12 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
         return F.concat(F.array_join(F.transform(m, piece), ""), tail)
 
     return F.when(F.size(spans) > 0, let(merged, cut)).otherwise(text)
+
+
+def without_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every span that ``scan`` finds replaced by ``mark`` and the length column set anew where text changed."""
+    found = scan(docs, id_col=id_col, text_col=text_col, keep=tuple(docs.columns)).drop("doc_id") if id_col != "doc_id" else scan(docs, id_col=id_col, text_col=text_col, keep=tuple(c for c in docs.columns if c != id_col))
+    changed = F.size("all") > 0
+    new = found.withColumn("_new", F.when(changed, redacted(F.col(text_col), F.col("all"), mark)).otherwise(F.col(text_col)))
+    columns = {text_col: F.col("_new")} | ({length_col: F.when(changed, F.length("_new").cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))} if length_col else {})
+    return new.select(*[columns.get(c, F.col(c)).alias(c) for c in docs.columns])
