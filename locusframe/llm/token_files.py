@@ -6,7 +6,6 @@ import os
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,54 +19,102 @@ from locusframe.llm.common import fresh_folder, save, ship
 from locusframe.llm.shingles import kept
 
 #: Different units a worker remembers the ids of, and the longest one remembered.
-CACHED_UNITS, CACHED_CHARS = 400_000, 40
+CACHED_UNITS, CACHED_CHARS = 600_000, 40
 
 
 def _plain(text: str) -> bool:
-    """Whether single spaces between visible characters are the text's only white space but for line ends."""
-    return "  " not in text and "\n " not in text and " \n" not in text and text[:1] != " " and text[-1:] != " " and text.replace("\n", "").isprintable()
+    """Whether the text's only white space is single spaces and single line ends, each between visible characters."""
+    return not ("  " in text or "\n " in text or " \n" in text or "\n\n" in text or text[:1] in " \n" or text[-1:] in " \n") and text.replace("\n", "").isprintable()
 
 
 class Encoder:
     """Encodes whole texts with a tokenizer of the tokenizers library.
 
-    A byte-level tokenizer starts a new piece before a single space between
-    visible characters, so a plain text's ids are those of its units (a space and
-    what follows up to the next space) in turn. Units recur; each new one is encoded
-    by the library once and its ids are kept. Other texts are encoded as they are.
+    A byte-level tokenizer starts a new piece before a single space or line end
+    between visible characters, after the latter too, and between a word and the
+    point or comma that ends a unit. A plain text's ids are thus those of its units
+    (what lies between spaces and line ends, with the space before it) in turn.
+    Units recur: each new one is encoded by the library, many in one text that is
+    cut where an id begins with a space, and its ids are kept. Other texts, and all
+    texts of a tokenizer that a probe shows to cut otherwise, are encoded as they are.
     """
 
+    _PROBE = "Anb cdq,\nEf'g 12 ###.\nI h\u00e9x."
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
-        self.units: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.kind = np.uint16 if max(vocabulary.values()) < 1 << 16 else np.uint32
+        self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.opens[[i for token, i in vocabulary.items() if token[0] == "\u0120"]] = True  # how byte-level vocabularies write a space
+        self.recent: dict[str, bytes] = {}  # by unit without its space; a line's first unit has \0 in its place
+        self.older: dict[str, bytes] = {}
+        self.line, point, comma = [x.tobytes() for x in self._ids(["\n", ".", ","])]
+        self.stop = {".": point, ",": comma}
+        self.in_units = True
+        self.in_units = self.encode([self._PROBE]) == [x.tobytes() for x in self._ids([self._PROBE])]
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_units(self, units: list[str]) -> Iterator[tuple[str, bytes]]:
+        spaced = [u for u in units if u[:1] != "\0"]
+        groups = [spaced[i : i + 1000] for i in range(0, len(spaced), 1000)]
+        for group, ids in zip(groups, self._ids(["".join([" " + u for u in g]) for g in groups])):
+            cuts = np.flatnonzero(self.opens[ids])
+            if len(cuts) == len(group):
+                raw, at = ids.tobytes(), [*(cuts * ids.itemsize).tolist(), ids.nbytes]
+                yield from zip(group, [raw[a:b] for a, b in zip(at, at[1:])])
+            else:
+                yield from zip(group, [x.tobytes() for x in self._ids([" " + u for u in group])])
+        first = [u for u in units if u[:1] == "\0"]
+        yield from zip(first, [x.tobytes() for x in self._ids([u[1:] for u in first])])
+
+    def _found(self, unit: str) -> bytes | None:
+        """Ids of a unit that is not among the recent ones, from the older ones or a word and its stop."""
+        ids = self.older.get(unit)
+        if ids is None and unit[-1:] in self.stop:
+            word = unit[:-1]
+            known = self.recent.get(word) or self.older.get(word)
+            if known is not None and word.lstrip("\0").isalpha():
+                return known + self.stop[unit[-1]]
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian integers of the encoder's width."""
-        units: list[list[str] | None] = []
+        flat: list[str] = []
+        bounds: list[tuple[int, int] | None] = []
         for t in texts:
-            if t and _plain(t):
-                first, *rest = t.split(" ")
-                units.append([first, *[" " + u for u in rest]])
+            if t and self.in_units and _plain(t):
+                start = len(flat)
+                for line in t.split("\n"):
+                    units = line.split(" ")
+                    units[0] = "\0" + units[0]
+                    flat += units
+                    flat.append("\n")
+                bounds.append((start, len(flat) - 1))
             else:
-                units.append(None)
-        if len(self.units) > CACHED_UNITS:
-            self.units.clear()
-        known = self.units
-        new = list({u for u in chain.from_iterable(x for x in units if x) if u not in known})
-        known.update(zip(new, self._ids(new)))
-        whole = dict(zip((i for i, x in enumerate(units) if x is None), self._ids([texts[i] for i, x in enumerate(units) if x is None])))
-        out = [whole[i] if x is None else b"".join([known[u] for u in x]) for i, x in enumerate(units)]
-        for u in new:
-            if len(u) > CACHED_CHARS:
-                del known[u]
-        return out
+                bounds.append(None)
+        if len(self.recent) > CACHED_UNITS:
+            self.older, self.recent = self.recent, {}
+        self.recent["\n"] = self.line
+        ids = list(map(self.recent.get, flat))
+        holes = [i for i, x in enumerate(ids) if x is None]
+        met: dict[str, bytes | None] = {}
+        for i in holes:
+            u = flat[i]
+            if u not in met:
+                met[u] = self._found(u)
+        met.update(self._encode_units([u for u, x in met.items() if x is None]))
+        for i in holes:
+            ids[i] = met[flat[i]]
+        self.recent.update((u, x) for u, x in met.items() if len(u) <= CACHED_CHARS)
+        other = [t for t, b in zip(texts, bounds) if b is None]
+        whole = iter(self._ids(other))
+        return [b"".join(ids[b[0] : b[1]]) if b else next(whole).tobytes() for b in bounds]
 
 
 def _encoded(tokenizer: str, end_id: int, bounds: list):
