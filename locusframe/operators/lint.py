@@ -76,11 +76,16 @@ def diagnosed_bed(lines: DataFrame, width: int, additional_fields: int = 0) -> D
 
 @dataclass(frozen=True)
 class GxfLint:
-    """``lines``: every line with its class and key; ``records``: a row for each transcript or stray bad line, with ``diagnostics``."""
+    """``preserved``: comments and blank lines; ``data``: the others with their key, null where they belong to no transcript;
+    ``records``: a row for each transcript or stray bad line, with ``diagnostics``."""
 
-    lines: DataFrame
+    preserved: DataFrame
+    data: DataFrame
     records: DataFrame
 
+    def transcript_lines(self) -> DataFrame:
+        return self.data.filter("key IS NOT NULL AND _at >= 0").select("_file", "_line", "_raw", "key")
+
 
 def diagnosed_gxf(lines: DataFrame, kind: str | Dialect, options: GroupOptions = GroupOptions()) -> GxfLint:
     """A line that cannot be parsed is an invalid record of its own; one that does not fit its transcript makes that one invalid, which is then held against no rule."""
@@ -88,10 +93,8 @@ def diagnosed_gxf(lines: DataFrame, kind: str | Dialect, options: GroupOptions =
     built = gxf.group(gxf.checked(rows))
     said = F.when(F.col("conflict_line").isNotNull(), F.array(_say("grouped lines span several chromosomes or strands at line ", F.col("conflict_line")))).otherwise(messages())
     records = built.select("_file", "_line", "key", said.alias("diagnostics"))
-    stray = rows.filter("_error IS NOT NULL").select("_file", "_line", F.lit(None).cast("string").alias("key"), F.array("_error").alias("diagnostics"))
-    kept = lines.filter(skipped_gxf(F.col("_raw"))).select("_file", "_line", "_raw", F.lit(None).cast("string").alias("key"), F.lit("preserve").alias("class"))
-    data = rows.select("_file", "_line", "_raw", "key", F.when(F.col("key").isNotNull(), "transcript").otherwise("drop").alias("class"))
-    return GxfLint(kept.unionByName(data), records.unionByName(stray))
+    stray = rows.filter("_error IS NOT NULL AND _at >= 0").select("_file", "_line", F.lit(None).cast("string").alias("key"), F.array("_error").alias("diagnostics"))
+    return GxfLint(lines.filter(skipped_gxf(F.col("_raw"))).select("_file", "_line", "_raw"), rows, records.unionByName(stray))
 
 
 def summary(diagnosed: DataFrame, name: str) -> DataFrame:
@@ -124,9 +127,8 @@ def prune_gxf(lines: DataFrame, kind: str | Dialect, options: GroupOptions = Gro
     """(_file, _line, value): comments, blank lines and the lines of valid transcripts, to be put in order of _line."""
     found = diagnosed_gxf(lines, kind, options)
     valid = found.records.filter("key IS NOT NULL AND size(diagnostics) = 0").select("_file", "key")
-    kept = found.lines.filter("class = 'preserve'")
-    own = found.lines.filter("class = 'transcript'").join(valid, ["_file", "key"], "left_semi")
-    return kept.unionByName(own.select(*kept.columns)).select("_file", "_line", F.col("_raw").alias("value"))
+    own = found.transcript_lines().join(valid, ["_file", "key"], "left_semi").select("_file", "_line", "_raw")
+    return found.preserved.unionByName(own).select("_file", "_line", F.col("_raw").alias("value"))
 
 
 def reject_additional_fields(additional_fields: int | None, name: str) -> None:

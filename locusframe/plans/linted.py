@@ -124,4 +124,4 @@ def whole_file(spark, sf_dir):
 def prune_semi_join(spark, sf_dir):
     found = lint.diagnosed_gxf(_gtf_lines(spark, sf_dir), "gtf")
     valid = found.records.filter("size(diagnostics) = 0").select("_file", "key")
-    return found.lines.join(valid, ["_file", "key"], "left_semi").groupBy("key").agg(F.count("*").alias("lines"))
+    return found.transcript_lines().join(valid, ["_file", "key"], "left_semi").groupBy("key").agg(F.count("*").alias("lines"))

@@ -38,19 +38,23 @@ def first_token(key: str) -> Column:
 
 
 def keyed(parsed: DataFrame, kind: str | Dialect, options: GroupOptions = GroupOptions()) -> DataFrame:
-    """``parsed`` with ``is_parent``, ``kept`` (the feature is asked for) and ``key``, the transcript's id; null if there is none."""
+    """``parsed`` with ``is_parent``, ``kept`` (the feature is asked for) and ``key``, the transcript's id; null if there is none.
+
+    ``_at`` numbers the rows of a task. A filter that names it stays above this
+    projection, so that attributes are parsed once and not in the filter as well.
+    """
     d = options.resolved(kind if isinstance(kind, Dialect) else dialect(kind))
     feature = F.lower("feature")
     parent = feature == d.parent_feature.lower()
     kept = F.lit(True) if options.child_features is None else parent | feature.isin(*[c.lower() for c in options.child_features])
     key = F.when(kept & F.col("_error").isNull(), F.when(parent, first_token(d.parent_attribute)).otherwise(first_token(d.child_attribute)))
-    return parsed.withColumn("is_parent", parent).withColumn("kept", kept).withColumn("key", key)
+    return parsed.select("*", parent.alias("is_parent"), kept.alias("kept"), key.alias("key"), F.monotonically_increasing_id().alias("_at"))
 
 
 def checked(rows: DataFrame) -> DataFrame:
     """``rows`` with keys only, with ``fits``: whether chromosome and strand are those of the transcript's first line."""
     first = F.first(F.struct("chrom", "strand")).over(W.partitionBy("_file", "key").orderBy("_line"))
-    return rows.filter("key IS NOT NULL").withColumn("_first", first).withColumn("fits", (F.col("chrom") == F.col("_first.chrom")) & (F.col("strand") == F.col("_first.strand"))).drop("_first")
+    return rows.filter("key IS NOT NULL AND _at >= 0").withColumn("_first", first).withColumn("fits", (F.col("chrom") == F.col("_first.chrom")) & (F.col("strand") == F.col("_first.strand"))).drop("_first")
 
 
 def conflict(fits: Column) -> Column:
