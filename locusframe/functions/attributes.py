@@ -6,20 +6,41 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from locusframe.functions.arrays import let
+from locusframe.functions.fields import WHITE
 
 # Fixed value: one attribute, with SEP standing for the dialect's separator. Groups: key, quoted value, bare value, flag at the end.
 GRAMMAR = r'[ \t\n\f\r]*(?:([^SEP]*?) *SEP *(?:"([^"]*)(?:"[^;]*(?:;|\z)|\z)|(?!")([^;]*?) *(?:;|\z))|([^SEP]+)\z)'
 
 
+#: Marks between the parts of an attribute, its ends, and what cannot be in a text that takes the quick way.
+_PART, _OPEN, _CLOSE = "\u0001", "\u0002", "\u0003"
+
+
 def tokens(text: Column, separator: str) -> Column:
     """(k, v) of each attribute in order; an empty array where there is none.
 
     A key reaches to the separator; its value is quoted, or ends at a semicolon and
     is trimmed. What follows the last separator is a flag with an empty value.
     Nothing is percent-decoded or cut at commas.
+
+    One pass of the pattern marks the parts of all attributes, which are then cut
+    at the marks; a text that holds such marks itself is matched part by part.
     """
     pattern = GRAMMAR.replace("SEP", separator)
-    tail = F.regexp_replace(text, r"[ \t\n\f\r]+\z", "")
+    tail = F.rtrim(text, F.lit(WHITE))
+    return F.when(text.rlike(f"[{_PART}-{_CLOSE}]"), _matched(tail, pattern)).otherwise(_marked(tail, pattern))
+
+
+def _marked(tail: Column, pattern: str) -> Column:
+    marked = F.regexp_replace(tail, pattern, f"{_OPEN}$1{_PART}$2$3{_PART}$4{_PART}$0{_CLOSE}")
+    pieces = F.split(marked, _CLOSE, -1)
+    parts = F.transform(pieces, lambda p: F.split(F.substring_index(p, _OPEN, -1), _PART, -1))
+    found = F.filter(parts, lambda a: (F.size(a) == 4) & (F.get(a, F.lit(3)) != ""))
+    at = lambda a, i: F.get(a, F.lit(i))
+    return F.transform(found, lambda a: F.struct(F.when(at(a, 2) != "", at(a, 2)).otherwise(at(a, 0)).alias("k"), at(a, 1).alias("v")))
+
+
+def _matched(tail: Column, pattern: str) -> Column:
     found = F.filter(F.regexp_extract_all(tail, F.lit(pattern), F.lit(0)), lambda t: t != "")
 
     def parsed(t: Column) -> Column:

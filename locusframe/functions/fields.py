@@ -8,6 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: What counts as white space at the ends of lines and fields.
+WHITE = " \t\n\f\r"
+
+
 @dataclass(frozen=True)
 class Field:
     """``error`` is null where the text could be read."""
@@ -18,7 +22,7 @@ class Field:
 
 def trimmed(text: Column) -> Column:
     """Without ASCII white space at either end."""
-    return F.regexp_replace(text, r"^[ \t\n\f\r]+|[ \t\n\f\r]+\z", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def unsigned(text: Column, label: str, most: int = (1 << 63) - 1) -> Field:
