@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from bisect import bisect_right
@@ -36,7 +37,7 @@ class Encoder:
     (what lies between spaces and line ends, with the space before it) in turn.
     Units recur: each new one is encoded by the library, many in one text that is
     cut where an id begins with a space, and its ids are kept. Other texts, and all
-    texts of a tokenizer that a probe shows to cut otherwise, are encoded as they are.
+    texts of a tokenizer of another shape, are encoded as they are.
     """
 
     _PROBE = "Anb cdq,\nEf'g 12 ###.\nI h\u00e9x."
@@ -54,8 +55,10 @@ class Encoder:
         self.older: dict[str, bytes] = {}
         self.line, point, comma = [x.tobytes() for x in self._ids(["\n", ".", ","])]
         self.stop = {".": point, ",": comma}
-        self.in_units = True
-        self.in_units = self.encode([self._PROBE]) == [x.tobytes() for x in self._ids([self._PROBE])]
+        shape = json.loads(self.tokenizer.to_str())
+        pieces = shape["pre_tokenizer"] or {}
+        self.in_units = pieces.get("type") == "ByteLevel" and pieces.get("use_regex", True) and not pieces.get("add_prefix_space") and not shape["normalizer"]
+        self.in_units = self.in_units and self.encode([self._PROBE]) == [x.tobytes() for x in self._ids([self._PROBE])]
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
