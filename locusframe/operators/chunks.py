@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.schema import FormatError
+from locusframe.shipping import ship
 from locusframe.sources.lines import skipped_bed
 
 
@@ -38,6 +39,7 @@ def map_batches(records: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatc
         for b in batches:
             yield fn(b)
 
+    ship(records.sparkSession)
     return records.mapInArrow(run, schema)
 
 

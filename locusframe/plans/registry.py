@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from locusframe.plans import derived, grouped, linted, texts  # noqa: F401
+    from locusframe.plans import derived, files, grouped, linted, texts  # noqa: F401
 
 
 load()

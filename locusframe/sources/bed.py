@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from locusframe.functions import fields as f
 from locusframe.functions.extras import empty_extras
 from locusframe.schema import EXTRAS, FormatError, check_width
-from locusframe.sources.lines import read_lines, skipped_bed
+from locusframe.sources.lines import not_text, read_lines, skipped_bed
 
 MODES = ("permissive", "drop", "strict")
 
@@ -65,7 +65,7 @@ def parse_bed(lines: DataFrame, width: int, additional_fields: int = 0) -> DataF
         keys = F.transform(F.sequence(F.lit(width + 1), F.size("_f")), lambda i: i.cast("string"))
         values = F.transform(F.slice("_f", F.lit(width + 1), F.size("_f")), lambda v: F.array(v))
         extras = F.when(short.isNull(), F.map_from_arrays(keys, values).cast(EXTRAS))
-    return split.select("_file", "_line", "_raw", *[c.alias(k) for k, c in columns.items()], extras.alias("extras"), f.first_error(short, *errors).alias("_error"))
+    return split.select("_file", "_line", "_raw", *[c.alias(k) for k, c in columns.items()], extras.alias("extras"), f.first_error(not_text(F.col("_raw")), short, *errors).alias("_error"))
 
 
 def canonical(parsed: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from locusframe.functions import fields as f
 from locusframe.functions.arrays import let
 from locusframe.functions.attributes import to_map, tokens
 from locusframe.schema import CHILD_FEATURES, RECORD_COLUMNS, Dialect, FormatError, GroupOptions, dialect
-from locusframe.sources.lines import read_lines, skipped_gxf
+from locusframe.sources.lines import not_text, read_lines, skipped_gxf
 
 # The nine columns, and the attributes that name a transcript, in order of preference.
 COLUMNS = ("chromosome", "source", "feature", "start", "end", "score", "strand", "phase", "attributes")
@@ -28,7 +28,7 @@ def parse_gxf(lines: DataFrame, kind: str | Dialect) -> DataFrame:
     order = F.when(end.value < start.value, F.concat(F.lit("invalid coordinates: end ("), end.value.cast("string"), F.lit(") must be >= start ("), start.value.cast("string"), F.lit(")")))
     pairs = split.withColumn("tokens", F.when(F.size("_f") >= 9, tokens(at(8), d.separator)))
     bare = F.when(F.size("tokens") == 0, F.lit("invalid attributes: empty"))
-    error = f.first_error(short, start.error, end.error, order, strand.error, bare)
+    error = f.first_error(not_text(F.col("_raw")), short, start.error, end.error, order, strand.error, bare)
     return pairs.select("_file", "_line", "_raw", at(0).alias("chrom"), at(2).alias("feature"), F.greatest(start.value - 1, F.lit(0)).alias("start"), end.value.alias("end"), strand.value.alias("strand"), "tokens", error.alias("_error"))
 
 

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import bz2
+import gzip
+import io
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locusframe.functions.fields import trimmed
+from locusframe.schema import FormatError
+from locusframe.shipping import ship
 
 #: Input splits up to which their first line numbers are broadcast.
 BROADCAST_SPLITS = 100_000
@@ -34,6 +42,41 @@ def read_lines(spark: SparkSession, path: str | list[str], numbered: bool = True
     return placed.join(bases, ["_file", "_block"]).select("_file", (F.col("_id") - F.col("_first") + F.col("_base") + 1).alias("_line"), "_raw")
 
 
+def _unpacked(codec: str, content: bytes):
+    if codec == "zstd":
+        import zstandard
+
+        return zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content), read_across_frames=True)
+    return {"gzip": gzip.open, "bzip2": bz2.open}[codec](io.BytesIO(content))
+
+
+def read_encoded_lines(spark: SparkSession, path: str | list[str], codec: str) -> DataFrame:
+    """(_file, _line, _raw) of files whose suffix does not tell their codec, as one names it: gzip, bzip2 or zstd.
+
+    Such a file is not cut into splits, so one task unpacks it as a stream and numbers its lines.
+    """
+    if codec not in ("gzip", "bzip2", "zstd"):
+        raise FormatError(f"unknown codec {codec!r}: expected gzip, bzip2 or zstd")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                text, at = io.BufferedReader(_unpacked(codec, content)) if codec == "zstd" else _unpacked(codec, content), 0
+                while rows := text.readlines(1 << 20):
+                    raw = [r.removesuffix(b"\n").removesuffix(b"\r").decode("utf-8", "replace") for r in rows]
+                    yield pa.RecordBatch.from_pydict({"_file": pa.array([file] * len(raw)), "_line": pa.array(range(at + 1, at + len(raw) + 1), pa.int64()), "_raw": pa.array(raw)})
+                    at += len(raw)
+
+    ship(spark)
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, "_file string, _line bigint, _raw string")
+
+
+def not_text(raw: Column) -> Column:
+    """The message for a line that is not UTF-8; null for one that is."""
+    return F.when(~F.is_valid_utf8(raw), F.lit("invalid UTF-8"))
+
+
 def lines_of(values: DataFrame, file: str = "") -> DataFrame:
     """(_file, _line, _raw) of a DataFrame with columns ``line`` (number) and ``value``: lines that are in no file."""
     return values.select(F.lit(file).alias("_file"), F.col("line").cast("bigint").alias("_line"), F.regexp_replace("value", r"\r\z", "").alias("_raw"))
