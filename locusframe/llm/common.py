@@ -1,6 +1,5 @@
 """What the operators share: tables written to the shared folder, gapless
-numbering without a global window, joins whose small side is size-checked, and
-shipping of this package to executors."""
+numbering without a global window, and joins whose small side is size-checked."""
 
 from __future__ import annotations
 
@@ -9,17 +8,17 @@ import os
 import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locusframe.shipping import ship  # noqa: F401
+
 #: Rows up to which a table with a few short columns is broadcast; beyond it a shuffled join is used.
 BROADCAST_ROWS = 20_000
 _LOCAL: dict[str, str] = {}
-_SHIPPED: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,25 +59,6 @@ def discard(*tables: DataFrame) -> None:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    if os.path.isdir(package):
-        folder = tempfile.mkdtemp(prefix="locusframe-code-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        with zipfile.ZipFile(f"{folder}/locusframe_code.zip", "w") as z:
-            for top, _, names in os.walk(package):
-                for n in names:
-                    if n.endswith(".py"):
-                        full = os.path.join(top, n)
-                        z.write(full, os.path.relpath(full, os.path.dirname(package)))
-        spark.sparkContext.addPyFile(f"{folder}/locusframe_code.zip")
-    _SHIPPED.add(app)
-
-
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
     return F.transform(F.array(value), body)[0]
