@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +60,13 @@ def discard(*tables: DataFrame) -> None:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def take_place(store: pafs.FileSystem, own: str, name: str) -> None:
+    """Gives a finished file its name; one that an earlier run of the task left makes way (not all stores rename over a file)."""
+    if store.get_file_info(name).type != pafs.FileType.NotFound:
+        store.delete_file(name)
+    store.move(own, name)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
     return F.transform(F.array(value), body)[0]

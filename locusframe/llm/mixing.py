@@ -14,13 +14,13 @@ _EPS = 1e-12
 
 
 def source_targets(items: DataFrame, weights: tuple[float, ...], share: float, most: float) -> tuple[DataFrame, int]:
-    """(source, source_size, source_rows, target) of ``items`` (source, size, m), and the number of sources.
+    """(source, source_size, source_items, target) of ``items`` (source, size, m), and the number of sources.
 
     Targets are level * weight, held at ``most`` times the source's size; the
     level rises as what capped sources leave is shared again, until no further
     source is above its cap. Every round is one aggregate over the sources.
     """
-    sums = save(items.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.sum("m").alias("source_rows")), "sources")
+    sums = save(items.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count("*").alias("source_items")), "sources")
     ranked = numbered(sums, [F.col("source").asc_nulls_last()], "_rank", "source-rank")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_rank") % len(weights) + 1).cast("int"))
     src = ranked.withColumn("_w", weight).withColumn("_cap", most * F.col("source_size").cast("double"))
@@ -37,7 +37,7 @@ def source_targets(items: DataFrame, weights: tuple[float, ...], share: float, m
         if not open_weight:  # every source is at its cap
             level = float("inf")
     target = F.least(F.col("_cap"), F.lit(level) * F.col("_w")) if level != float("inf") else F.col("_cap")
-    return src.select("source", "source_size", "source_rows", target.alias("target")), n
+    return src.select("source", "source_size", "source_items", target.alias("target")), n
 
 
 def _pivot(level: int, seed: int):
@@ -100,9 +100,9 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     split = split.withColumn("p", F.when(F.col("p") < _EPS, 0.0).otherwise(F.col("p"))).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "source", "size"))
     columns = ["size", "h", "doc_id", "m", "whole", "dealt", "p"]
     done = [split.filter("p = 0").select("source", *columns)]
-    largest = items.groupBy("source").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    largest = sources.agg(F.max("source_items")).first()[0] or 0
     # A source's buckets: about fan_in of its items in each, so a hot source has many.
-    buckets = F.ceil(F.col("source_rows") / fan_in)
+    buckets = F.ceil(F.col("source_items") / fan_in)
     rest = split.filter("p > 0").select("source", F.pmod(F.xxhash64("h", F.lit(seed + 1)), buckets).alias("bucket"), *columns)
     level, width, used = 0, -(-largest // fan_in) if largest else 0, []
     item = F.struct((-F.col("size")).alias("order"), *columns)

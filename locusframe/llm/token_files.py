@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from locusframe.llm.common import fresh_folder, save, ship
+from locusframe.llm.common import fresh_folder, save, ship, take_place
 from locusframe.llm.shingles import kept
 
 #: Different units a worker remembers the ids of, and the longest one remembered.
@@ -157,7 +157,7 @@ class _Part:
         self.docs.close()
         for out, kind in zip(self.out, self.KINDS):
             out.close()
-            self.store.move(f"{self.name}.{self.attempt}.{kind}", f"{self.name}.{kind}")
+            take_place(self.store, f"{self.name}.{self.attempt}.{kind}", f"{self.name}.{kind}")
 
 
 def _writer(folder: str, width: int):

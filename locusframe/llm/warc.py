@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import fresh_folder, runs, save, ship
+from locusframe.llm.common import fresh_folder, runs, save, ship, take_place
 
 #: Bytes of a record's block beyond which it is cut into continuation records, and of one transfer chunk.
 SEGMENT_BYTES, CHUNK_BYTES = 32_768, 8_192
@@ -118,7 +118,7 @@ def _writer(folder: str, segment_bytes: int, date: str):
                         out.write(piece)
                     count += 1
         if count:
-            store.move(own, name)
+            take_place(store, own, name)
             yield pa.RecordBatch.from_pydict({"archive": pa.array([name]), "records": pa.array([count], pa.int64())})
         else:
             store.delete_file(own)
