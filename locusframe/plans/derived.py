@@ -161,21 +161,19 @@ def allowed_extras(spark, sf_dir):
     return _records(spark, sf_dir).select("name", F.explode(F.map_keys(ex.allowed(E(), ["note", "13", "x"]))).alias("key"))
 
 
-@query("j01_gene_map", f"{SQL} SELECT name, CASE WHEN k % 3 = 0 THEN 'gene' || CAST(k // 3 AS VARCHAR) ELSE name END AS gene FROM t")
+@query("j01_gene_map", f"{SQL} SELECT name, CASE WHEN status = 'F' THEN 'gene' || cust ELSE name END AS gene FROM t")
 def gene_map(spark, sf_dir):
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey % 3 = 0")
-    genes = orders.select(F.concat(F.lit("tx"), F.col("o_orderkey").cast("string")).alias("transcript"), F.concat(F.lit("gene"), F.expr("o_orderkey div 3").cast("string")).alias("gene"))
+    """The map knows the genes of finished orders only; others keep their own name."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderstatus = 'F'")
+    genes = orders.select(F.concat(F.lit("tx"), F.col("o_orderkey").cast("string")).alias("transcript"), F.concat(F.lit("gene"), F.col("o_custkey").cast("string")).alias("gene"))
     return with_genes(_records(spark, sf_dir), genes).select("name", F.coalesce("gene", "name").alias("gene"))
 
 
-def _shifted(df: DataFrame) -> DataFrame:
-    return df.filter("k % 5 = 0").select("chrom", (F.col("start") + 220050).alias("start"), (F.col("end") + 220050).alias("end"), F.col("name").alias("query"))
-
-
-@query("j02_interval_join", f"{SQL} SELECT a.name AS name, b.name AS query FROM t a JOIN t b ON a.chrom = b.chrom AND b.k % 5 = 0 AND a.st < b.en + 220050 AND a.en > b.st + 220050")
+@query("j02_interval_join", f"{SQL} SELECT a.name AS name, b.name AS query FROM t a JOIN t b ON a.chrom = b.chrom AND a.st < b.en + 220050 AND a.en > b.st + 220050")
 def range_join(spark, sf_dir):
     df = _records(spark, sf_dir)
-    return interval_join(df.select("chrom", "start", "end", "name"), _shifted(df)).select("name", F.col("query_r").alias("query"))
+    asked = df.select("chrom", (F.col("start") + 220050).alias("start"), (F.col("end") + 220050).alias("end"), F.col("name").alias("query"))
+    return interval_join(df.select("chrom", "start", "end", "name"), asked).select("name", F.col("query_r").alias("query"))
 
 
 def _exploded(df: DataFrame) -> DataFrame:
