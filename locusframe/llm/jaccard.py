@@ -15,8 +15,9 @@ from locusframe.llm.components import components
 from locusframe.llm.shingles import chunks, gram_sets, ngram_hashes, signatures, text_buffer, word_hashes
 
 TREES, DEPTH = 32, 5
-#: Texts of one trie node, or of one candidate group, that a task compares with each other or with as many others.
-NODE_BLOCK, GROUP_BLOCK = 1024, 512
+#: Least and most texts in a block of a trie node, or of a candidate group; a task compares a block with itself or with another.
+#: Between them, a node or group is cut into BLOCKS blocks, enough to spread its pairs over many tasks.
+NODE_BLOCK, GROUP_BLOCK, BLOCKS = (256, 1024), (64, 512), 16
 #: Estimated similarity from which a pair is a candidate: over five standard errors below 0.8 for 160 values.
 MARGIN = 0.2
 _VERIFY_COLUMNS = 8192
@@ -109,7 +110,7 @@ def _verified(n: int, threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), g, _ in runs(batches, ["label", "i", "j"]):
-            rows = list({d: x for x, d in enumerate(g["digest"])}.values())  # a repeated id may bring a text twice
+            rows = list({d: x for x, d in enumerate(g["digest"])}.values())  # in order of digest; a repeated id may bring a text twice
             digest = [g["digest"][x] for x in rows]
             weight, block = np.array([g["n_docs"][x] for x in rows]), np.array([g["block"][x] for x in rows])
             sets = gram_sets([g["text"][x].encode() for x in rows], n)
@@ -127,13 +128,15 @@ def _verified(n: int, threshold: float):
     return run
 
 
-def _gridded(df: DataFrame, by: str, size: int) -> DataFrame:
-    """Rows of a group of more than ``size`` go to every pair of blocks that theirs is in; no task gets an unbounded group."""
-    blocks = F.greatest(F.ceil(F.col("n") / size), F.lit(1))
+def _gridded(df: DataFrame, by: str, size: tuple[int, int]) -> DataFrame:
+    """Rows of a group of several blocks go to every pair of blocks that theirs is in; no task gets an unbounded group."""
+    each = F.greatest(F.lit(size[0]), F.least(F.lit(size[1]), F.col("n") / BLOCKS))
+    blocks = F.greatest(F.ceil(F.col("n") / each), F.lit(1))
     df = df.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("digest"), "blocks"))
     df = df.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     df = df.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other")
-    return df.repartition(by, "i", "j").sortWithinPartitions(by, "i", "j")
+    # In order of digest the least text heads its set in every task, so tasks that overlap give the same edges.
+    return df.repartition(by, "i", "j").sortWithinPartitions(by, "i", "j", "digest")
 
 
 def text_digest(text) -> F.Column:

@@ -53,8 +53,8 @@ def test_all_links_are_found(spark):
 
 def test_groups_over_several_blocks(spark, monkeypatch):
     """A group and a node far above a block's size are dealt as pairs of blocks; no link is lost."""
-    monkeypatch.setattr(jaccard, "NODE_BLOCK", 7)
-    monkeypatch.setattr(jaccard, "GROUP_BLOCK", 9)
+    monkeypatch.setattr(jaccard, "NODE_BLOCK", (7, 7))
+    monkeypatch.setattr(jaccard, "GROUP_BLOCK", (9, 9))
     rng = random.Random(8)
     base = [prose(rng, 1) for _ in range(60)]
     rows = []
