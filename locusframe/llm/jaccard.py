@@ -17,7 +17,7 @@ from locusframe.llm.shingles import chunks, gram_sets, ngram_hashes, signatures,
 TREES, DEPTH = 32, 5
 #: Least and most texts in a block of a trie node, or of a candidate group; a task compares a block with itself or with another.
 #: Between them, a node or group is cut into BLOCKS blocks, enough to spread its pairs over many tasks.
-NODE_BLOCK, GROUP_BLOCK, BLOCKS = (256, 1024), (64, 512), 16
+NODE_BLOCK, GROUP_BLOCK, BLOCKS = (256, 1024), (64, 512), 24
 #: Estimated similarity from which a pair is a candidate: over five standard errors below 0.8 for 160 values.
 MARGIN = 0.2
 _VERIFY_COLUMNS = 8192
