@@ -114,19 +114,20 @@ def numbered(df: DataFrame, keys: list[Column], index: str, tag: str) -> DataFra
     return placed.withColumn("_part", part).join(F.broadcast(bases), "_part").withColumn(index, F.col("_base") + place).drop("_part", "_at", "_base")
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, dict[str, list], pa.Schema]]:
-    """Groups of consecutive rows with equal ``keys``, over the bounds of batches: (key, columns as lists, schema)."""
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows_each: int = 512) -> Iterator[tuple[tuple, dict[str, list], pa.Schema]]:
+    """Groups of consecutive rows with equal ``keys``, over the bounds of batches: (key, columns as lists, schema).
+
+    A batch is turned into Python values ``rows_each`` rows at a time, so that long texts are not all there twice.
+    """
     key, rows, schema = None, None, None
-    for batch in batches:
-        schema = batch.schema
-        columns = {c: batch.column(c).to_pylist() for c in schema.names}
+    for part in (b.slice(at, rows_each) for b in batches for at in range(0, b.num_rows, rows_each)):
+        schema = part.schema
+        columns = {c: part.column(c).to_pylist() for c in schema.names}
         marks = list(zip(*[columns[k] for k in keys]))
         first = 0
         for i in range(1, len(marks) + 1):
             if i < len(marks) and marks[i] == marks[first]:
                 continue
-            if not marks:
-                break
             if marks[first] != key:
                 if rows:
                     yield key, rows, schema

@@ -16,7 +16,7 @@ from locusframe.llm.shingles import kept
 #: Trees of a forest, bits of a hash string, and distinct vectors of a block, which has a forest of its own.
 TREES, BITS, BLOCK_ROWS = 64, 32, 16_384
 #: The ascent ends when the trees' ranges, each tree's counted, hold this share of the block's vectors and LEAST_RANGE a tree.
-DRAWN, LEAST_RANGE = 0.5, 64
+DRAWN, LEAST_RANGE = 0.6, 64
 #: Candidates whose distance is taken anew in double precision, over the number asked for.
 _SPARE = 32
 
