@@ -17,8 +17,8 @@ from locusframe.llm.shingles import kept
 TREES, BITS, BLOCK_ROWS = 64, 32, 16_384
 #: The ascent ends when the trees' ranges, each tree's counted, hold this share of the block's vectors and LEAST_RANGE a tree.
 DRAWN, LEAST_RANGE = 0.6, 64
-#: Candidates whose distance is taken anew in double precision, over the number asked for.
-_SPARE = 32
+#: Rows whose distances are taken at once in double precision.
+_SLICE = 2048
 
 
 class Forest:
@@ -26,9 +26,12 @@ class Forest:
 
     def __init__(self, vectors: np.ndarray, trees: int, bits: int):
         self.vectors, self.trees, self.bits = vectors, trees, bits
-        self.short = vectors.astype(np.float32)
         self.mean = vectors.mean(0)
-        self.norms = (self.short**2).sum(1)
+        centred = vectors - self.mean
+        self.norms = np.sqrt((centred**2).sum(1))
+        self.scale = float(self.norms.max()) or 1.0
+        self.norms /= self.scale
+        self.short = (centred / self.scale).astype(np.float32)
         labels = self._labels(vectors)
         self.order = np.argsort(labels, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(labels, self.order, 1)
@@ -59,14 +62,31 @@ class Forest:
                 met[self.order[t, lo[t, q] : hi[t, q]]] = True
             yield np.flatnonzero(met)
 
+    def _possible(self, query: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+        """Those of ``rows`` that can be among the k nearest: their single-precision values are within the error bounds of the k-th.
+
+        The value is the squared distance over scale**2, less the query's own share,
+        of the vectors x and y around the block's mean. Rounding x and y and summing
+        their products in single precision, in any order, moves 2xy by at most
+        2(dim + 3)u |x||y| / (1 - (dim + 3)u), u = 2**-24; the terms after it stand for
+        underflow and for the double precision of all else, the final distance's too.
+        """
+        dim = self.vectors.shape[1]
+        own = (query - self.mean) / self.scale
+        size, part = float(np.sqrt((own**2).sum())), (dim + 3) * 2.0**-24
+        if not size < 1e15 or part >= 0.5:
+            return rows
+        norms = self.norms[rows]
+        rough = norms**2 - 2.0 * (self.short[rows] @ own.astype(np.float32)).astype(np.float64)
+        error = 2.02 * part / (1 - part) * norms * size + (dim + 16) * 2.0**-49 * (norms**2 + size**2) + dim * 2.0**-120 * (1 + size)
+        return rows[~(rough - error > np.partition(rough + error, k - 1)[k - 1])]
+
     def nearest(self, queries: np.ndarray, k: int, drawn: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(rows, distances) of at least the k nearest candidates of each query and of those as near as the last of them."""
         for q, rows in zip(queries, self.candidates(queries, drawn)):
-            if len(rows) > k + _SPARE:
-                rough = self.norms[rows] - 2 * (self.short[rows] @ q.astype(np.float32))
-                last = np.partition(rough, k + _SPARE)[k + _SPARE]
-                rows = rows[rough <= last]
-            distance = np.sqrt(((self.vectors[rows] - q) ** 2).sum(1))
+            if len(rows) > k:
+                rows = self._possible(q, rows, k)
+            distance = np.concatenate([np.sqrt(((self.vectors[rows[a : a + _SLICE]] - q) ** 2).sum(1)) for a in range(0, max(len(rows), 1), _SLICE)])
             if len(rows) > k:
                 near = distance <= np.partition(distance, k - 1)[k - 1]
                 rows, distance = rows[near], distance[near]
@@ -119,8 +139,9 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, *, k: int = 10, i
     ``block_rows`` distinct vectors, dealt by hash; each has its forest, and each
     query visits all blocks. In a block every tree is descended to the longest
     prefix of the query's hash string, then all trees are ascended together until
-    their ranges hold ``drawn`` times the block's rows (LEAST_RANGE a tree at least); the candidates' distances are
-    exact. The hash functions are random and fitted to nothing but a block's mean.
+    their ranges hold ``drawn`` times the block's rows (LEAST_RANGE a tree at least). Candidates are sifted in
+    single precision around the block's mean, and none goes that its error bound lets be among the nearest; the distances
+    of the rest are exact. The hash functions are random and fitted to nothing but a block's mean.
 
     Vectors that are null, empty, zero, or hold null or non-finite components take
     no part, nor do null ids. Vectors of different lengths never meet. A repeated id

@@ -51,6 +51,29 @@ def test_recall_over_several_blocks(spark):
     assert hits / (10 * len(by)) >= 0.9
 
 
+@pytest.mark.parametrize("noise, shift", [(1e-4, 0.0), (3e-5, 0.0), (1e-3, 1.0), (3e-4, 1.0), (1e-3, 10.0), (1e-9, 1.0)])
+def test_tight_clusters_are_ranked_in_double_precision(noise, shift):
+    """Of all rows as candidates, the nearest are those of brute force, in a cluster of 600 near-copies too."""
+    rng = np.random.default_rng(6)
+    rows = rng.normal(size=(2000, 64))
+    rows[:600] = rows[0] + noise * np.sqrt(64) * rng.normal(size=(600, 64))
+    rows = rows / np.sqrt((rows**2).sum(1))[:, None] + shift
+    forest, queries = neighbours.Forest(rows, 8, 32), np.concatenate((rows[:600:40], rows[1000:1005], 1e20 * rows[:1]))
+    for q, (near, distance) in zip(queries, forest.nearest(queries, 11, 8.0)):
+        true = np.sqrt(((rows - q) ** 2).sum(1))
+        assert set(near.tolist()) == set(np.flatnonzero(true <= np.sort(true)[10]).tolist())
+        assert distance.tolist() == true[near].tolist()
+
+
+def test_recall_in_a_shifted_cluster(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, (1 + (0.1 if i < 600 else 1) * rng.normal(size=32) * (1e-3 if i < 600 else 1)).astype(np.float32).tolist()) for i in range(1500)]
+    df = vectors(spark, rows)
+    found = neighbours.nearest_neighbours(df, df.filter("vec_id < 600 and vec_id % 30 = 0")).collect()
+    hits = sum(r.vec_id in {i for _, i in plain_nearest(rows, r.query_id, 10)} for r in found)
+    assert len(found) == 200 and hits >= 190
+
+
 def test_ties_copies_and_unsound_vectors(spark):
     rows = [(i, [1.0, 2.0, 0.5]) for i in range(50)] + [(100 + i, [1.0, 2.0, float(i + 1)]) for i in range(5)]
     bad = [(200, None), (201, []), (202, [0.0, 0.0, 0.0]), (203, [1.0, None, 2.0]), (204, [float("nan"), 1.0, 1.0]), (205, [float("inf"), 1.0, 1.0]), (None, [1.0, 2.0, 0.4]), (300, [1.0, 2.0])]
