@@ -21,7 +21,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import save, ship
+from locusframe.llm.common import runs, save, ship
+from locusframe.llm.jaccard import _gridded as gridded
+from locusframe.llm.jaccard import _Union as Union
 from locusframe.llm.shingles import kept
 
 SAMPLES, PERIOD, CLASSES = 128, 256, 256
@@ -29,6 +31,8 @@ SAMPLES, PERIOD, CLASSES = 128, 256, 256
 PIECE, LEAD = 4096, 512
 #: Cells of the padded matrices of one pass; characters of the texts taken together.
 _CELLS, _BATCH_CHARS = 4_000_000, 2_000_000
+#: Least and most fingerprints in a block of a band; a task compares a block with itself or with another.
+BAND_BLOCK = (256, 1024)
 
 
 def _stays() -> np.ndarray:
@@ -154,17 +158,20 @@ def sampled(classes: np.ndarray, reached: np.ndarray, steps: int) -> str:
     return f"{level:02x}" + classes[np.searchsorted(reached, at, "right") - 1].tobytes().hex()
 
 
+def _values(print_: str, level: int) -> np.ndarray:
+    """A fingerprint's values on ``level``, its own or a coarser one."""
+    values = np.frombuffer(bytes.fromhex(print_[2:]), np.uint8)
+    for k in range(int(print_[:2], 16) + 1, level + 1):
+        blocks = np.arange((len(values) + 1) // 2)
+        child = 2 * blocks + _bit(k, blocks)
+        values = values[child[child < len(values)]]
+    return values
+
+
 def likeness(a: str, b: str) -> float:
     """Share of the places of either fingerprint, on the coarser of their levels, at which both have the same value."""
-    parts = []
     top = max(int(a[:2], 16), int(b[:2], 16))
-    for f in (a, b):
-        values = np.frombuffer(bytes.fromhex(f[2:]), np.uint8)
-        for level in range(int(f[:2], 16) + 1, top + 1):
-            blocks = np.arange((len(values) + 1) // 2)
-            child = 2 * blocks + _bit(level, blocks)
-            values = values[child[child < len(values)]]
-        parts.append(values)
+    parts = [_values(f, top) for f in (a, b)]
     n, most = min(map(len, parts)), max(map(len, parts))
     return float(np.count_nonzero(parts[0][:n] == parts[1][:n]) / most) if most else 1.0
 
@@ -271,6 +278,13 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     return done.filter("part IS NULL").select("doc_id", *_FIELDS).unionByName(paired)
 
 
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("text")
+        found = [f for a in range(0, batch.num_rows, 500) for f in fingerprints(texts.slice(a, 500).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.string())], ["doc_id", "fingerprint"])
+
+
 def _band_keys(bands: int, places_each: int):
     """Keys of random subsets of a fingerprint's values, at its own level and the next coarser one."""
 
@@ -278,9 +292,8 @@ def _band_keys(bands: int, places_each: int):
         pick = np.random.default_rng(77)
         chosen = [np.sort(pick.choice(SAMPLES // 4, places_each, replace=False)) for _ in range(bands)]
         for batch in batches:
-            ids, prints, keys, texts = [], [], [], batch.column("text")
-            found = (f for a in range(0, batch.num_rows, 500) for f in fingerprints(texts.slice(a, 500).to_pylist()))
-            for i, f in enumerate(found):
+            ids, prints, keys = [], [], []
+            for i, f in enumerate(batch.column("fingerprint").to_pylist()):
                 level, values = int(f[:2], 16), np.frombuffer(bytes.fromhex(f[2:]), np.uint8)
                 for up in (0, 1):
                     if up:
@@ -291,33 +304,84 @@ def _band_keys(bands: int, places_each: int):
                         keys.append(hashlib.blake2b(bytes([level + up, b]) + values[at[at < len(values)]].tobytes(), digest_size=16).digest())
                         ids.append(i)
                         prints.append(f)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(prints, pa.string()), pa.array(keys, pa.binary())], ["doc_id", "fingerprint", "band"])
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(ids, pa.int64())), pa.array(prints, pa.string()), pa.array(keys, pa.binary())], ["node", "fingerprint", "band"])
 
     return run
 
 
-def _verified(least: float):
+def _all_likenesses(values: np.ndarray, sizes: np.ndarray, x: int) -> np.ndarray:
+    """``likeness`` of row x to each later row; rows are values on one level, padded to equal length by 256."""
+    same = np.count_nonzero(values[x + 1 :, : sizes[x]] == values[x, : sizes[x]], axis=1)
+    most = np.maximum(sizes[x + 1 :], sizes[x])
+    return np.where(most > 0, same / np.maximum(most, 1), 1.0)
+
+
+def _on_level(prints: list[str], level: int) -> tuple[np.ndarray, np.ndarray]:
+    """(values padded by 256, their numbers) of fingerprints of at most that level, brought to it."""
+    out = np.full((len(prints), SAMPLES), 256, np.uint16)
+    sizes = np.zeros(len(prints), np.int64)
+    for i, f in enumerate(prints):
+        values = _values(f, level)
+        sizes[i] = len(values)
+        out[i, : len(values)] = values
+    return out, sizes
+
+
+def _spanning_pairs(least: float):
+    """Per band (or pair of its blocks): pairs at least ``least`` alike that hang together all members that such pairs do."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = pa.array([likeness(a, b) for a, b in zip(batch.column("fingerprint").to_pylist(), batch.column("head_print").to_pylist())], pa.float64())
-            keep = pa.array([x >= least for x in near.to_pylist()], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("head_id"), batch.column("doc_id"), near], ["head_id", "doc_id", "near"]).filter(keep)
+        for (_, i, j), g, schema in runs(batches, ["band", "i", "j"]):
+            levels, block = np.array([int(f[:2], 16) for f in g["fingerprint"]]), np.array(g["block"])
+            union, found = Union(len(levels)), []
+            # A pair is compared on the coarser of its levels: with a fingerprint of level k, all of k and below.
+            by_level = {int(k): _on_level([f for f, own in zip(g["fingerprint"], levels) if own <= k], int(k)) for k in np.unique(levels)}
+            for k, (values, sizes) in by_level.items():
+                member = np.flatnonzero(levels <= k)
+                for x in range(len(member) - 1):
+                    near = _all_likenesses(values, sizes, x)
+                    others = member[x + 1 :]
+                    hit = (near >= least) & (np.maximum(levels[others], levels[member[x]]) == k)
+                    if i != j:
+                        hit &= block[others] != block[member[x]]
+                    for y in np.flatnonzero(hit).tolist():
+                        a, b = int(member[x]), int(others[y])
+                        if union.find(a) != union.find(b):
+                            union.join(a, b)
+                            found.append((g["node"][a], g["node"][b], float(near[y])))
+            if found:
+                kind = schema.field("node").type
+                yield pa.RecordBatch.from_arrays([pa.array([min(a, b) for a, b, _ in found], kind), pa.array([max(a, b) for a, b, _ in found], kind), pa.array([x for *_, x in found], pa.float64())], ["head_id", "doc_id", "near"])
 
     return run
 
 
 def near_in_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bands: int = 16, places_each: int = 6, least: float = 0.8) -> DataFrame:
-    """Pairs (head_id, doc_id, near): documents that share a band with one of smaller id and whose fingerprints are ``least`` alike.
-
-    A band is a random subset of the sampled values; all members of a band are
-    verified against the band's least id, so a band of any size gives a row a
-    member, never all pairs. Null ids take no part.
+    """Pairs (head_id, doc_id, near), head_id < doc_id, whose fingerprints are ``least`` alike and share a band, enough to span all such pairs.
+
+    A band is a random subset of the sampled values. All members of a band are
+    compared with one another, in pairs of blocks where it has more than a block's
+    size, and from each task come the pairs of a spanning forest: any two
+    documents that share a band and are alike hang together over rows of the result,
+    and a band of any size gives a row or so a member and block, never all pairs. Each
+    row is a pair that was compared itself. Likeness is that of the sampled places.
+
+    Documents with one fingerprint are one member, under the least of their ids, and
+    each of the others gets a row with that id (near is 1). Null ids take no part, and
+    an id is not paired with itself, if it repeats. Which pairs span is fixed by the data.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    banded = save(rows.mapInArrow(_band_keys(bands, places_each), f"doc_id {kind}, fingerprint string, band binary"), "edit-bands")
-    heads = banded.groupBy("band").agg(F.min(F.struct("doc_id", "fingerprint")).alias("head"), F.count("*").alias("n")).filter("n > 1")
-    met = banded.join(heads, "band").select("doc_id", "fingerprint", F.col("head.doc_id").alias("head_id"), F.col("head.fingerprint").alias("head_print")).filter("doc_id <> head_id").distinct()
-    return met.mapInArrow(_verified(least), f"head_id {kind}, doc_id {kind}, near double")
+    prints = save(rows.mapInArrow(_prints, f"doc_id {kind}, fingerprint string"), "edit-prints")
+    # Written, so that a common fingerprint is one short row for the join with its copies.
+    distinct = save(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "edit-nodes")
+    copies = prints.join(distinct.filter("copies > 1"), "fingerprint").select(F.col("node").alias("head_id"), "doc_id", F.lit(1.0).alias("near"))
+    banded = save(distinct.select("node", "fingerprint").mapInArrow(_band_keys(bands, places_each), f"node {kind}, fingerprint string, band binary"), "edit-bands")
+    # Bands of the same members are looked at once.
+    sized = banded.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fingerprint")).alias("members"), F.min("fingerprint").alias("first")).filter("n > 1")
+    sized = sized.groupBy("n", "members", "first").agg(F.min("band").alias("band")).select("band", "n")
+    met = gridded(banded.withColumn("digest", F.col("fingerprint")).join(sized, "band"), "band", BAND_BLOCK)
+    spanning = met.select("band", "i", "j", "block", "node", "fingerprint").mapInArrow(_spanning_pairs(least), f"head_id {kind}, doc_id {kind}, near double")
+    return copies.unionByName(spanning).filter("head_id <> doc_id").distinct()

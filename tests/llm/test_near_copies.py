@@ -206,3 +206,22 @@ def test_bands_pair_texts_a_few_edits_apart(spark):
     found = {(r.head_id, r.doc_id) for r in ef.near_in_edits(spark.createDataFrame(rows, DOCS)).collect()}
     assert sum((2 * i, 2 * i + 1) in found for i in range(40)) >= 36
     assert all(a // 2 == b // 2 for a, b in found)
+
+
+def test_near_pairs_do_not_hang_on_a_bands_head(spark, monkeypatch):
+    """Documents with a common opening share bands; alike ones hang together over true pairs, over blocks of a band too."""
+    rng = random.Random(12)
+    opening, rows = prose(rng, 170), []
+    for i in range(50):
+        t = opening + prose(rng, 130)
+        rows += [(3 * i, t, "en", "s", 0), (3 * i + 1, t[:-40] + "#" + t[-39:], "en", "s", 0), (3 * i + 2, t, "en", "s", 0)]
+    prints = dict(zip((r[0] for r in rows), ef.fingerprints([r[1] for r in rows])))
+    assert max(ef.likeness(prints[0], prints[3 * i]) for i in range(1, 50)) < 0.8
+    alike = [i for i in range(50) if ef.likeness(prints[3 * i], prints[3 * i + 1]) >= 0.8]
+    assert len(alike) >= 45
+    for blocks in ((256, 1024), (7, 7)):
+        monkeypatch.setattr(ef, "BAND_BLOCK", blocks, raising=False)
+        found = [tuple(r) for r in ef.near_in_edits(spark.createDataFrame(rows, DOCS)).collect()]
+        assert all(a < b and near == ef.likeness(prints[a], prints[b]) >= 0.8 for a, b, near in found) and len(set(found)) == len(found)
+        assert {(3 * i, 3 * i + 2) for i in range(50)} <= {f[:2] for f in found}
+        assert {(3 * i, 3 * i + 1) for i in alike} <= {f[:2] for f in found}
