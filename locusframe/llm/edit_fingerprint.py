@@ -286,11 +286,16 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _band_keys(bands: int, places_each: int):
-    """Keys of random subsets of a fingerprint's values, at its own level and the next coarser one."""
+    """Keys of random subsets of a fingerprint's values, at its own level and the next coarser one.
+
+    A band takes, of its own random order of all SAMPLES places, the first that the
+    fingerprint has. So the whole text is drawn from, and fingerprints whose numbers
+    of values differ a little take the same places but for few.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pick = np.random.default_rng(77)
-        chosen = [np.sort(pick.choice(SAMPLES // 4, places_each, replace=False)) for _ in range(bands)]
+        orders = [pick.permutation(SAMPLES) for _ in range(bands)]
         for batch in batches:
             ids, prints, keys = [], [], []
             for i, f in enumerate(batch.column("fingerprint").to_pylist()):
@@ -300,8 +305,9 @@ def _band_keys(bands: int, places_each: int):
                         blocks = np.arange((len(values) + 1) // 2)
                         child = 2 * blocks + _bit(level + 1, blocks)
                         values = values[child[child < len(values)]]
-                    for b, at in enumerate(chosen):
-                        keys.append(hashlib.blake2b(bytes([level + up, b]) + values[at[at < len(values)]].tobytes(), digest_size=16).digest())
+                    for b, order in enumerate(orders):
+                        at = order[order < len(values)][:places_each]
+                        keys.append(hashlib.blake2b(bytes([level + up, b]) + values[at].tobytes(), digest_size=16).digest())
                         ids.append(i)
                         prints.append(f)
             yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(ids, pa.int64())), pa.array(prints, pa.string()), pa.array(keys, pa.binary())], ["node", "fingerprint", "band"])
@@ -359,7 +365,7 @@ def _spanning_pairs(least: float):
 def near_in_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bands: int = 16, places_each: int = 6, least: float = 0.8) -> DataFrame:
     """Pairs (head_id, doc_id, near), head_id < doc_id, whose fingerprints are ``least`` alike and share a band, enough to span all such pairs.
 
-    A band is a random subset of the sampled values. All members of a band are
+    A band is a random subset of the sampled values, from the whole text. All members of a band are
     compared with one another, in pairs of blocks where it has more than a block's
     size, and from each task come the pairs of a spanning forest: any two
     documents that share a band and are alike hang together over rows of the result,

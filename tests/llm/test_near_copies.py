@@ -225,3 +225,39 @@ def test_near_pairs_do_not_hang_on_a_bands_head(spark, monkeypatch):
         assert all(a < b and near == ef.likeness(prints[a], prints[b]) >= 0.8 for a, b, near in found) and len(set(found)) == len(found)
         assert {(3 * i, 3 * i + 2) for i in range(50)} <= {f[:2] for f in found}
         assert {(3 * i, 3 * i + 1) for i in alike} <= {f[:2] for f in found}
+
+
+def text_of_values(rng, n, level=5):
+    """A text whose fingerprint has n values on the level."""
+    long = prose(rng, 600)
+    chars = ef.char_classes(long)
+    reached = ef.walks([chars])[0][0]
+    at = next(k for k, r in enumerate(reached.tolist()) if r > ef.places(level)[n - 1])
+    return long[:at]
+
+
+def edited_pairs(rng, each=24):
+    """(place of the edit, values, text, edited text) of pairs at least 0.8 alike."""
+    out = []
+    for n in (65, 96, 128):
+        for place in (0.0, 0.42, 0.85):
+            made = 0
+            while made < each:
+                t = text_of_values(rng, n)
+                a, b = int(place * len(t)), int((place + 0.15) * len(t))
+                u = t[:a] + prose(rng, 90)[: b - a] + t[b:]
+                f, g = ef.fingerprints([t, u])
+                assert f[:2] == "05" and len(f) == 2 + 2 * n
+                if ef.likeness(f, g) >= 0.8:
+                    made += 1
+                    out.append((place, n, t, u))
+    return out
+
+
+def test_bands_see_the_whole_text(spark):
+    """Pairs edited at the start, the middle or the end share a band alike, with few values and with many."""
+    pairs = edited_pairs(random.Random(21))
+    rows = [(2 * i + j, p[2 + j], "en", "s", 0) for i, p in enumerate(pairs) for j in (0, 1)]
+    found = {(r.head_id, r.doc_id) for r in ef.near_in_edits(spark.createDataFrame(rows, DOCS)).collect()}
+    met = Counter((p[:2]) for i, p in enumerate(pairs) if (2 * i, 2 * i + 1) in found)
+    assert all(met[place, n] >= 22 for n in (65, 96, 128) for place in (0.0, 0.42, 0.85)), met
