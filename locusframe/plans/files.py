@@ -79,5 +79,5 @@ def detected_layout(spark, sf_dir):
     path = f"{scratch(spark, 'layout')}/x"
     writers.write_lines(writers.to_bed(bridge.records(spark, sf_dir), 6), path)
     kind = detect.detect_format(spark, path)
-    width, more = detect.explicit_layout(8, 2)
+    width, more = detect.detect_layout(spark, path, 2)
     return bed.read_bed(spark, path, width, more, mode="strict").agg(F.count("*").alias("n")).select("n", F.lit(kind).alias("format"), F.lit(width).alias("width"), F.lit(more).alias("additional"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from locusframe import cli
 from locusframe.functions import attributes
 from locusframe.operators import chunks, extract, lint, writers
+from locusframe.plans import registry
 from locusframe.schema import FormatError, GroupOptions, WriterOptions
 from locusframe.sources import bed, detect, gxf
 from locusframe.sources.lines import read_lines
@@ -265,3 +266,10 @@ def test_sinks(spark, path, tmp_path):
         assert bed.read_bed(spark, str(tmp_path / name), 12).count() == 1
     with pytest.raises(FormatError):
         writers.write_lines(df, str(tmp_path / "x.bed.zst"))
+
+
+def test_layout_query_runs_the_detection(spark, monkeypatch):
+    seen, real = [], detect.detect_layout
+    monkeypatch.setattr(detect, "detect_layout", lambda *a: seen.append(real(*a)) or seen[-1])
+    row = registry.QUERIES["s42_detected_layout"](spark, "/root/testdata/sf0.001").first()
+    assert seen == [(6, 2)] and (row["width"], row["additional"]) == (6, 2)
