@@ -39,7 +39,7 @@ CLASSES = (
 KINDS = ("assign", "access", "hex", *(c.kind for c in CLASSES))
 
 #: Candidates that match one of these are suppressed: examples, counting alphabets, UUIDs, integrity digests.
-ALLOW = (r"(?i)example", r"(?i)abcdefghijkl", r"0123456789", r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-", r"(?i)^sha(1|256|384|512)[-_]")
+ALLOW = (r"(?i)example", r"(?i)abcdefghijkl", r"0123456789", r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$", r"(?i)^sha(1|256|384|512)[-_]")
 _BLOCK = 256
 
 

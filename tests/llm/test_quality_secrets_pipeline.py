@@ -246,3 +246,13 @@ def test_query_over_its_whole_table(spark, name):
 def test_corpus_has_a_hot_source(spark):
     rows = corpus(spark, 300)[1]
     assert Counter(r[3] for r in rows)["hot"] > 75
+
+
+def test_a_token_after_a_uuids_opening_is_found(spark):
+    """Only a whole UUID is allowed, not a run that opens like one."""
+    uuid, token = "123e4567-e89b-12d3-a456-426614174000", "Ab3xYz9QwErT7uIoP1aSdF5gHjK2lZxC8vBnM4"
+    rows = [(1, uuid, "en", "s", 0), (2, f"{uuid}-{token}", "en", "s", 0), (3, f"{uuid[:19]}{token}", "en", "s", 0)]
+    found = {r.doc_id: r.all for r in secret_scan.scan(documents(spark, rows)).collect()}
+    assert not found[1]
+    for d, t in ((2, rows[1][1]), (3, rows[2][1])):
+        assert any(x.s < t.index(token) + 24 and x.e == len(t) for x in found[d])
