@@ -193,3 +193,12 @@ def test_pack_of_many_copies_and_odd_rows(spark):
     rows = odd_rows()
     check_pack(rows, pack(documents(spark, rows), capacity=1000).collect(), 1000, 8)
     assert pack(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_pack_keeps_given_clusters_apart(spark):
+    """Different texts of one cluster are in no bin together; equal texts of different clusters may be."""
+    rows = [(i, f"a b c w{i}", "en", f"s{i % 5}", i // 10) for i in range(100)]
+    found = pack(spark.createDataFrame(rows, DOCS), cluster_col="n_chars", capacity=40, group_rows=1000).collect()
+    for group in check_pack(rows, found, 40, 8).values():
+        assert max(Counter(r.doc_id // 10 for r in group).values()) == 1
+    assert len({r.bin for r in found}) < 20
