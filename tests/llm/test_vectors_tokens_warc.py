@@ -65,6 +65,45 @@ def test_tight_clusters_are_ranked_in_double_precision(noise, shift):
         assert distance.tolist() == true[near].tolist()
 
 
+@pytest.mark.parametrize("kind, most", [("equidistant", 0.32), ("clusters", 0.02), ("near-copies", 0.45)])
+def test_recall_and_share_looked_at_in_a_block(kind, most):
+    """At the block size in use recall is 0.9 or more; how much of the block is looked at depends on the vectors."""
+    rng = np.random.default_rng(0)
+    rows = rng.normal(size=(neighbours.BLOCK_ROWS, 64))
+    rows /= np.sqrt((rows**2).sum(1))[:, None]
+    if kind == "clusters":
+        rows = rng.normal(size=(200, 64))[rng.integers(0, 200, len(rows))] + 0.3 * rng.normal(size=rows.shape)
+    if kind == "near-copies":
+        rows[: len(rows) // 3] = rows[0] + 1e-3 * rng.normal(size=(len(rows) // 3, 64))
+    forest, queries = neighbours.Forest(rows, neighbours.TREES, neighbours.BITS), rows[::160]
+    looked = [len(c) / len(rows) for c in forest.candidates(queries, 11, neighbours.RECALL)]
+    hits = 0
+    for q, (near, _) in zip(queries, forest.nearest(queries, 11, neighbours.RECALL)):
+        true = np.argsort(((rows - q) ** 2).sum(1), kind="stable")[1:11]
+        hits += len(set(true.tolist()) & set(near.tolist()))
+    assert hits / (10 * len(queries)) >= 0.9
+    assert np.mean(looked) <= most
+
+
+@pytest.mark.parametrize("repeats", [12, 1000])
+def test_repeated_rows_take_no_other_row_s_place(spark, repeats):
+    """Rows equal in id and vector are one candidate; other ids with the vector are still found."""
+    rows = [(1, [1.0, 2.0])] * repeats + [(2, [1.0, 2.0]), (3, [1.0, 2.0]), (50, [9.0, 13.0]), (100, [1.0, 2.1])]
+    df = vectors(spark, rows)
+    found = neighbours.nearest_neighbours(df, df.filter("vec_id in (1, 100)")).collect()
+    once = sorted(dict(rows).items())
+    for q in (1, 100):
+        assert [(r.score, r.vec_id) for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q] == plain_nearest(once, q, 10)
+
+
+def test_many_ids_on_one_vector(spark):
+    rows = [(i, [0.5, 0.25]) for i in range(3000)] + [(5000 + i, [0.5, 0.25 + 2.0**-i]) for i in range(1, 9)]
+    df = vectors(spark, rows)
+    found = neighbours.nearest_neighbours(df, df.filter("vec_id % 1000 = 0 or vec_id = 5008")).collect()
+    for q in (0, 1000, 2000, 5008):
+        assert [(r.score, r.vec_id) for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q] == plain_nearest(rows, q, 10)
+
+
 def test_recall_in_a_shifted_cluster(spark):
     rng = np.random.default_rng(8)
     rows = [(i, (1 + (0.1 if i < 600 else 1) * rng.normal(size=32) * (1e-3 if i < 600 else 1)).astype(np.float32).tolist()) for i in range(1500)]
