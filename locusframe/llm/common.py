@@ -4,22 +4,28 @@ numbering without a global window, and joins whose small side is size-checked.""
 from __future__ import annotations
 
 import atexit
-import os
+import contextlib
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locusframe.shipping import ship  # noqa: F401
 
 #: Rows up to which a table with a few short columns is broadcast; beyond it a shuffled join is used.
 BROADCAST_ROWS = 20_000
+#: Most words of 64 bits in a filter of hashes (2 MB), bits that a hash sets in it, and bits that it has for each.
+FILTER_WORDS, FILTER_PROBES, FILTER_BITS = 1 << 18, 4, 16
+#: Rows of a part that is made by ranges; least rows for which another part is worth its task; bytes of text in a part.
+PART_ROWS, LEAST_ROWS, PART_BYTES = 250_000, 4_000, 24 << 20
 _LOCAL: dict[str, str] = {}
+_OPEN: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +45,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_folder(spark: SparkSession, tag: str) -> str:
-    return f"{shared_folder(spark)}/locusframe/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/locusframe/{tag}-{uuid.uuid4().hex}"
+    for made in _OPEN:
+        made.append(path)
+    return path
 
 
 def save(df: DataFrame, tag: str) -> DataFrame:
@@ -47,17 +56,33 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     later stages survive lost executors, and a value drawn once stays as it is."""
     path = fresh_folder(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables that ``save`` wrote and that nothing reads any more."""
+    """Deletes tables that ``save`` or ``numbered`` made and that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        files = df.inputFiles()
-        if files:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(os.path.dirname(files[0]))
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        if getattr(df, "_saved_at", None):
+            delete_folders(df.sparkSession, [df._saved_at])
+
+
+def delete_folders(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextlib.contextmanager
+def folders_made() -> Iterator[list[str]]:
+    """The folders that operators make in the shared folder meanwhile."""
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield made
+    finally:
+        _OPEN[:] = [m for m in _OPEN if m is not made]
 
 
 def take_place(store: pafs.FileSystem, own: str, name: str) -> None:
@@ -88,9 +113,37 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def partitions_for(df: DataFrame, rows: int, rows_each: int = 500_000) -> int:
-    """Partitions for a table of ``rows`` short rows: the session's number, more where parts would grow too large."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))
+def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """The inner join on ``key``, of which ``right`` has one row each and ``left`` as many as ``weight`` says, ``total`` in all at most.
+
+    Keys with more than total / BROADCAST_ROWS rows are BROADCAST_ROWS at most: they are
+    broadcast and their rows stay where they are, so no key is a hot one of the shuffle.
+    """
+    hot = F.col(weight) > max(64, -(-total // BROADCAST_ROWS))
+    few = F.broadcast(right.filter(hot))
+    cold = left.join(F.broadcast(right.filter(hot).select(key)), key, "left_anti").join(right.filter(~hot), key)
+    return left.join(few, key).unionByName(cold)
+
+
+def named(name: str) -> Column:
+    """The column of exactly that name, dots and back-ticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, so that columns made beside it can clash with none of them."""
+    return F.struct(*[named(c) for c in df.columns])
+
+
+def unpacked(df: DataFrame, like: DataFrame, row: str = "row", **new: Column) -> DataFrame:
+    """The columns of ``like`` out of the struct ``row``, those named in ``new`` replaced."""
+    return df.select(*[new[c].alias(c) if c in new else F.col(row).getField(c).alias(c) for c in like.columns])
+
+
+def parts_for(df: DataFrame, rows: int, size: int = 0) -> int:
+    """Parts for ``rows`` rows with ``size`` bytes of text: enough to bound a part, fewer than the session's number where that would leave little in each."""
+    session = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-rows // PART_ROWS), -(-size // PART_BYTES), min(session, -(-rows // LEAST_ROWS)))
 
 
 def numbered(df: DataFrame, keys: list[Column], index: str, tag: str) -> DataFrame:
@@ -102,16 +155,42 @@ def numbered(df: DataFrame, keys: list[Column], index: str, tag: str) -> DataFra
     ``df`` should be saved already, as the ranges are sampled from it. Keys should
     tell rows apart as far as the rows differ, or equal rows share a partition.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = parts_for(df, df.count())
     at = F.monotonically_increasing_id()
     placed = save(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_at", at), tag)
     part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    from pyspark.sql import Window as W
-
     # One row a partition, at most n: the single task of this window is bounded.
     bases = counts.select("_part", (F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_base"))
-    return placed.withColumn("_part", part).join(F.broadcast(bases), "_part").withColumn(index, F.col("_base") + place).drop("_part", "_at", "_base")
+    out = placed.withColumn("_part", part).join(F.broadcast(bases), "_part").withColumn(index, F.col("_base") + place).drop("_part", "_at", "_base")
+    out._saved_at = placed._saved_at
+    return out
+
+
+def maybe_in(keys: DataFrame) -> Callable[[Column], Column]:
+    """A test of 64-bit hashes that holds for all in the only column of ``keys`` and for few others.
+
+    A Bloom filter of FILTER_WORDS words at most, for any number of keys: it comes to
+    a query as one value of a scalar subquery. Beyond some millions of keys it lets
+    all pass; an exact join must follow it, so it saves work and decides nothing.
+    ``keys`` is read twice and should be a saved table's.
+    """
+    words = min(FILTER_WORDS, 1 << max(4, (keys.count() * FILTER_BITS // 64).bit_length()))
+    bits_of = lambda value: [F.pmod(F.xxhash64(value, F.lit(i)), F.lit(words * 64)) for i in range(FILTER_PROBES)]
+    bits = keys.select(F.explode(F.array(*bits_of(F.col(keys.columns[0])))).alias("bit"))
+    ones = bits.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("word"))
+    none = keys.sparkSession.range(0, words, 1, 1).select(F.col("id").alias("at"), F.lit(0).cast("long").alias("word"))
+    # One row a word in the last task, whatever the number of keys.
+    whole = none.unionByName(ones).groupBy("at").agg(F.bit_or("word").alias("word")).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]).alias("words"))
+
+    def test(value: Column) -> Column:
+        held = F.lit(True)
+        for bit in bits_of(value):
+            word = F.get(whole.scalar(), F.shiftright(bit, 6).cast("int"))
+            held = held & (F.call_function("getbit", word, bit.bitwiseAND(F.lit(63)).cast("int")) == 1)
+        return held
+
+    return test
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows_each: int = 512) -> Iterator[tuple[tuple, dict[str, list], pa.Schema]]:

@@ -32,4 +32,6 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
         discard(now, least)
         now = then
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    return nodes.unionByName(nodes.select(F.col("label").alias("node"), "label").distinct())
+    out = nodes.unionByName(nodes.select(F.col("label").alias("node"), "label").distinct())
+    out._saved_at = now._saved_at
+    return out

@@ -22,8 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.llm.common import runs, save, ship
-from locusframe.llm.jaccard import _gridded as gridded
-from locusframe.llm.jaccard import _Union as Union
+from locusframe.llm.pairs import Sets, gridded
 from locusframe.llm.shingles import kept
 
 SAMPLES, PERIOD, CLASSES = 128, 256, 256
@@ -339,7 +338,7 @@ def _spanning_pairs(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), g, schema in runs(batches, ["band", "i", "j"]):
             levels, block = np.array([int(f[:2], 16) for f in g["fingerprint"]]), np.array(g["block"])
-            union, found = Union(len(levels)), []
+            sets, found = Sets(len(levels)), []
             # A pair is compared on the coarser of its levels: with a fingerprint of level k, all of k and below.
             by_level = {int(k): _on_level([f for f, own in zip(g["fingerprint"], levels) if own <= k], int(k)) for k in np.unique(levels)}
             for k, (values, sizes) in by_level.items():
@@ -352,8 +351,8 @@ def _spanning_pairs(least: float):
                         hit &= block[others] != block[member[x]]
                     for y in np.flatnonzero(hit).tolist():
                         a, b = int(member[x]), int(others[y])
-                        if union.find(a) != union.find(b):
-                            union.join(a, b)
+                        if sets.head[a] != sets.head[b]:
+                            sets.join(a, np.array([b]))
                             found.append((g["node"][a], g["node"][b], float(near[y])))
             if found:
                 kind = schema.field("node").type
@@ -388,6 +387,6 @@ def near_in_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     # Bands of the same members are looked at once.
     sized = banded.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fingerprint")).alias("members"), F.min("fingerprint").alias("first")).filter("n > 1")
     sized = sized.groupBy("n", "members", "first").agg(F.min("band").alias("band")).select("band", "n")
-    met = gridded(banded.withColumn("digest", F.col("fingerprint")).join(sized, "band"), "band", BAND_BLOCK)
+    met = gridded(banded.join(sized, "band"), "band", "fingerprint", BAND_BLOCK)
     spanning = met.select("band", "i", "j", "block", "node", "fingerprint").mapInArrow(_spanning_pairs(least), f"head_id {kind}, doc_id {kind}, near double")
     return copies.unionByName(spanning).filter("head_id <> doc_id").distinct()

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import discard, numbered, save, small_side, uniform, word_count
+from locusframe.llm.common import discard, maybe_in, named, numbered, save, small_side, uniform, unpacked, whole_row, word_count
 
 #: Documents of one source that meet in one step of the reduction tree.
 FAN_IN = 64
@@ -37,7 +36,9 @@ def source_targets(items: DataFrame, weights: tuple[float, ...], share: float, m
         if not open_weight:  # every source is at its cap
             level = float("inf")
     target = F.least(F.col("_cap"), F.lit(level) * F.col("_w")) if level != float("inf") else F.col("_cap")
-    return src.select("source", "source_size", "source_items", target.alias("target")), n
+    out = save(src.select("source", "source_size", "source_items", target.alias("target")), "mix-sources")
+    discard(sums, ranked)
+    return out, n
 
 
 def _pivot(level: int, seed: int):
@@ -70,35 +71,23 @@ def _pivot(level: int, seed: int):
     return merge
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17, fan_in: int = FAN_IN) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, copies, taken.
+def _items(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[Column]:
+    """What a document is told by: id, source, words and a hash of its text."""
+    text = named(text_col)
+    return [named(id_col).alias("doc_id"), named(source_col).alias("source"), word_count(text).alias("size"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("t")]
 
-    Every source is to give ``target`` words (see source_targets), so each of its
-    documents has the expectation target / source_size of copies. Its whole part
-    is given; the fractions are rounded by the pivotal method: within buckets of
-    about ``fan_in`` documents of one source, pairs exchange mass until one of the
-    two is integral, the last fractional document of a bucket goes up to the next
-    level, and the single one left at the root is drawn. A source's taken words
-    are thus off its target by one document at most. All draws come from hashes
-    of the documents, so reruns agree.
 
-    Nulls: a null text has no words; a null source is a source of its own, last
-    in order; a null id is an id. Documents without words are taken 0 times.
-    Repeated rows count each: they form one item with a multiplicity, whose whole
-    extra copies are dealt and whose fraction enters the tree. An empty table
-    gives an empty result. Other columns of ``docs`` are not read.
-    """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    items = save(base.groupBy("doc_id", "source", "size").agg(F.count("*").alias("m")), "mix-items")
+def _picked(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, most: float, seed: int, fan_in: int) -> tuple[DataFrame, DataFrame, int]:
+    """(doc_id, source, size, t, m, whole, more): m equal rows are taken ``whole`` times each and ``more`` of them once more; the sources and their number."""
+    items = save(docs.select(*_items(docs, id_col, text_col, source_col)).groupBy("doc_id", "source", "size", "t").agg(F.count("*").alias("m")), "mix-items")
     sources, n_sources = source_targets(items, weights, share, most)
-    sources = save(sources, "mix-sources")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     joined = items.withColumnRenamed("source", "_s").join(small_side(sources, n_sources), F.col("_s").eqNullSafe(F.col("source"))).drop("_s")
     whole = F.when(F.col("size") > 0, F.floor(rate + _EPS)).otherwise(0)
     extra = F.when(F.col("size") > 0, F.greatest(rate - F.col("whole"), F.lit(0.0)) * F.col("m")).otherwise(0.0)
     split = joined.withColumn("whole", whole.cast("int")).withColumn("_x", extra).withColumn("dealt", F.floor(F.col("_x") + _EPS)).withColumn("p", F.col("_x") - F.col("dealt"))
-    split = split.withColumn("p", F.when(F.col("p") < _EPS, 0.0).otherwise(F.col("p"))).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "source", "size"))
-    columns = ["size", "h", "doc_id", "m", "whole", "dealt", "p"]
+    split = split.withColumn("p", F.when(F.col("p") < _EPS, 0.0).otherwise(F.col("p"))).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "source", "size", "t"))
+    columns = ["size", "h", "doc_id", "t", "m", "whole", "dealt", "p"]
     done = [split.filter("p = 0").select("source", *columns)]
     largest = sources.agg(F.max("source_items")).first()[0] or 0
     # A source's buckets: about fan_in of its items in each, so a hot source has many.
@@ -120,26 +109,67 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    row = F.explode(F.sequence(F.lit(1).cast("long"), F.col("m")))
-    out = out.withColumn("_row", row).withColumn("copies", F.col("whole") + F.when(F.col("_row") <= F.col("dealt") + F.col("p").cast("long"), 1).otherwise(0))
-    out = save(out.select("doc_id", "source", "size", "copies"), "mix")
+    out = save(out.select("doc_id", "source", "size", "t", "m", "whole", (F.col("dealt") + F.col("p").cast("long")).alias("more")), "mix")
     discard(items, *used)
-    named = out.withColumnRenamed("source", "_s").join(small_side(sources, n_sources), F.col("_s").eqNullSafe(F.col("source")))
-    return named.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out, sources, n_sources
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17, fan_in: int = FAN_IN) -> DataFrame:
+    """One row a document: doc_id, source, size, source_size, target, copies, taken.
+
+    Every source is to give ``target`` words (see source_targets), so each of its
+    documents has the expectation target / source_size of copies. Its whole part
+    is given; the fractions are rounded by the pivotal method: within buckets of
+    about ``fan_in`` documents of one source, pairs exchange mass until one of the
+    two is integral, the last fractional document of a bucket goes up to the next
+    level, and the single one left at the root is drawn. A source's taken words
+    are thus off its target by one document at most. All draws come from hashes
+    of the documents, so reruns agree.
+
+    Nulls: a null text has no words; a null source is a source of its own, last
+    in order; a null id is an id. Documents without words are taken 0 times. A text
+    of any length is one document. Rows equal in id, source and text count each: they
+    form one item with a multiplicity, whose whole extra copies are dealt and whose
+    fraction enters the tree. An empty table gives an empty result. Other columns of
+    ``docs`` are not read.
+    """
+    picks, sources, n_sources = _picked(docs, id_col, text_col, source_col, weights, share, most, seed, fan_in)
+    row = F.explode(F.sequence(F.lit(1).cast("long"), F.col("m")))
+    rows = picks.withColumn("_row", row).withColumn("copies", F.col("whole") + F.when(F.col("_row") <= F.col("more"), 1).otherwise(0))
+    of_source = rows.withColumnRenamed("source", "_s").join(small_side(sources, n_sources), F.col("_s").eqNullSafe(F.col("source")))
+    return of_source.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
 
+def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17, fan_in: int = FAN_IN) -> DataFrame:
+    """``docs`` with every row repeated as often as ``mix`` copies it, with all columns as they are.
 
-def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """``docs`` with every row repeated as often as ``mix`` copies it, with all columns.
+    Rows meet their copies on (id, source, words, hash of the text), and texts are
+    dealt once. Where only some of several rows equal in these are taken once more,
+    it is the first in order of a hash of the whole row, so reruns agree.
 
-    Rows meet their copies on (id, source, words); rows equal in these are numbered
-    and get one number of copies each. Texts are dealt once.
+    Nulls, texts of any length, repeated rows and an empty table are as in ``mix``;
+    null ids are told apart by their texts. Columns may have any name: all are kept in
+    one struct while others are worked out beside it.
     """
-    picks = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    # As many numbers as rows have the same id, source and words: one, where ids are ids.
-    picks = picks.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
-    rows = docs.withColumn("_size", word_count(F.col(text_col)))
-    met = rows.join(picks, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_words")))
-    alike = W.partitionBy(id_col, source_col, "_size").orderBy(F.lit(0))
-    numbered_rows = met.withColumn("_n", F.when(F.size("_copies") == 1, 1).otherwise(F.row_number().over(alike)))
-    times = F.get("_copies", F.col("_n") - 1)
-    return numbered_rows.filter(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    picks, sources, _ = _picked(docs, id_col, text_col, source_col, weights, share, most, seed, fan_in)
+    of = [F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "size", "t")]
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("t") == F.col("_t"))
+    rows = docs.select(whole_row(docs).alias("row"), *_items(docs, id_col, text_col, source_col))
+    times = F.col("whole") + F.when(F.col("more") > 0, 1).otherwise(0)
+    some = (F.col("more") > 0) & (F.col("more") < F.col("m"))
+    sure = rows.join(picks.filter(~some & (times > 0)).select(*of, times.alias("times")), same).select("row", "times")
+    some_picks = picks.filter(some).select(*of, "whole", "more")
+    n_some = some_picks.count()
+    if n_some:
+        key = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("_doc_id", "_source")], "_t")
+        asked = maybe_in(some_picks.select(key.alias("key")))
+        likely = rows.filter(asked(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit("")), "t")))
+        alike = likely.join(small_side(some_picks, n_some), same).withColumn("_hash", F.xxhash64(F.to_json("row"))).withColumn("_row", F.monotonically_increasing_id())
+        alike = save(alike.select("row", "doc_id", "source", "t", "size", "whole", "more", "_hash", "_row"), "mix-alike")
+        ranked = numbered(alike, [F.col(c) for c in ("t", "doc_id", "source", "size", "_hash", "_row")], "_at", "mix-ranked")
+        first = ranked.groupBy(F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("t").alias("_t")).agg(F.min("_at").alias("_first"))
+        more = ranked.join(small_side(first, n_some), same).withColumn("times", F.col("whole") + F.when(F.col("_at") - F.col("_first") < F.col("more"), 1).otherwise(0))
+        sure = sure.unionByName(more.filter("times > 0").select("row", "times"))
+        discard(alike)
+    discard(sources)
+    return unpacked(sure.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))), docs)

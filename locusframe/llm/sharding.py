@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import discard, numbered, save, small_side
+from locusframe.llm.common import discard, named, numbered, save, small_side
 
 
 def shard(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 29) -> DataFrame:
@@ -23,8 +23,8 @@ def shard(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id", text_col
     interchangeable. An empty table gives an empty result. Other columns of
     ``docs`` are not read.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    text = F.coalesce(named(text_col), F.lit(""))
+    base = docs.select(named(id_col).alias("doc_id"), named(source_col).alias("source"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     base = save(base.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size")).withColumn("_row", F.monotonically_increasing_id()), "shard-rows")
     within = ["_h", "doc_id", "text_crc32", "size", "_row"]
     ranked = numbered(base, [F.col("source"), *map(F.col, within)], "_rank", "shard-ranked")
@@ -34,7 +34,7 @@ def shard(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id", text_col
     # Written before it is numbered: the range partitioner samples its input.
     placed = save(placed.select("source", *within, ((F.col("_rank") - F.col("_first") + 0.5) / F.col("_n")).alias("_f")), "shard-fraction")
     cut = numbered(placed, [F.col("_f"), F.col("source"), *map(F.col, within)], "_g", "shard-cut")
-    discard(base, strata)
+    discard(base, ranked, strata, placed)
     at = F.expr(f"_g * {shards} div {max(rows, 1)}")
     first = F.expr(f"(_shard * {max(rows, 1)} + {shards - 1}) div {shards}")
     out = cut.withColumn("_shard", at).withColumn("slot", F.col("_g") - first)

@@ -83,15 +83,82 @@ def test_one_of_each_class_stays(spark):
     assert jaccard.one_of_each(spark.createDataFrame(nulls, DOCS)).count() == 2
 
 
-def test_prefixes_are_shortened_to_the_recall():
-    assert jaccard.prefix_length(0.8, 0.9999) == 5
-    lengths = [jaccard.prefix_length(s, 0.99) for s in (0.9, 0.7, 0.5, 0.3)]
-    assert lengths == sorted(lengths, reverse=True) and lengths[-1] < 5
+def test_the_shortest_prefix_meets_the_threshold():
+    lengths = [jaccard.shortest_prefix(s, 0.99) for s in (0.9, 0.7, 0.5, 0.3)]
+    assert lengths == sorted(lengths, reverse=True) and lengths[0] == jaccard.DEPTH and lengths[-1] < 3
     for s in (0.9, 0.5):
-        k = jaccard.prefix_length(s, 0.99)
+        k = jaccard.shortest_prefix(s, 0.99)
         assert 1 - (1 - s**k) ** jaccard.TREES >= 0.99
 
 
+def test_prefixes_are_shortened_as_the_pairs_met_say():
+    """Pairs far above the threshold ask for no shorter prefix; many pairs right at it do; without pairs nothing is known."""
+    values = jaccard.TREES * jaccard.DEPTH
+    high, low = {int(0.97 * values): 1000}, {int(0.8 * values): 1000}
+    assert jaccard.expected_recall(high, jaccard.DEPTH, 0.8) > 0.99999
+    recalls = [jaccard.expected_recall(low, d, 0.8) for d in range(jaccard.DEPTH, 3, -1)]
+    assert recalls == sorted(recalls) and recalls[0] < 0.9999 < recalls[-1]
+    assert recalls[0] < jaccard.expected_recall(high | low, jaccard.DEPTH, 0.8) < 1 and jaccard.expected_recall({}, 8, 0.8) == 0
+
+
+def levels_used(spark, monkeypatch, rows):
+    seen, real = [], jaccard.expected_recall
+    monkeypatch.setattr(jaccard, "expected_recall", lambda pairs, depth, t: seen.append(depth) or real(pairs, depth, t))
+    assert facts(jaccard.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()) == plain(rows)
+    return seen
+
+
+def test_the_data_say_how_far_prefixes_are_shortened(spark, monkeypatch):
+    rng = random.Random(14)
+
+    def copies(n, changed):
+        out = []
+        for i in range(n):
+            w = prose(rng, 200).split(" ")
+            v = list(w)
+            for at in rng.sample(range(0, 195, 6), changed):
+                v[at] = "other"
+            out += [(2 * i, " ".join(w), "en", "s", 0), (2 * i + 1, " ".join(v), "en", "s", 0)]
+        return out
+
+    assert levels_used(spark, monkeypatch, copies(60, 1)) == [jaccard.DEPTH]
+    assert levels_used(spark, monkeypatch, copies(60, 4))[-1] < jaccard.DEPTH
+
+
+def test_longest_matches_of_a_sorted_part():
+    """In a part cut into batches, each label has its longest match with any other; the part's ends count as whole matches."""
+    rng = random.Random(3)
+    rows = sorted((rng.randrange(2), *[int("".join(f"{rng.randrange(3):04x}" for _ in range(4)), 16) for _ in range(2)], i) for i in range(300))
+    names = ["tree", "l0", "l1", "node"]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[a : a + 37]], pa.int32() if not k else pa.int64()) for k in range(4)], names) for a in range(0, 300, 37)]
+    values = lambda r: [(r[1 + k // 4] >> (48 - 16 * (k % 4))) & 0xFFFF for k in range(8)]
+    common = lambda a, b: next((k for k, (x, y) in enumerate(zip(values(a), values(b))) if x != y), 8) if a[0] == b[0] else 0
+    found = {r["node"]: r["match"] for b in jaccard._longest_matches(3)(iter(batches)) for r in b.to_pylist()}
+    for r in rows[1:-1]:
+        best = max(common(r, o) for o in rows if o is not r)
+        assert found.get(r[3], 0) == (best if best >= 3 else 0)
+    assert found[rows[0][3]] == found[rows[-1][3]] == 8
+    assert list(jaccard._longest_matches(3)(iter([]))) == []
+
+
+def test_rows_with_any_column_names_stay_whole(spark):
+    """Columns that carry names used inside come out as they went in."""
+    _, rows = corpus(spark, 60, seed=4)
+    extra = ["row", "id", "digest", "i", "d", "node", "_id", "_kept", "_digest", "a.b", "label", "rows", "keeper"]
+    df = spark.createDataFrame([(*r, *[f"{c}{r[0]}" for c in extra]) for r in rows], [*(c.split(" ")[0] for c in DOCS.split(", ")), *extra])
+    kept = jaccard.one_of_each(df)
+    assert kept.columns == df.columns and kept.dtypes == df.dtypes
+    whole = {r[0]: tuple(r) for r in df.collect()}
+    found = kept.collect()
+    assert sorted(r[0] for r in found) == sorted({head for head, *_ in plain(rows).values()}) and all(tuple(r) == whole[r[0]] for r in found)
+
+
+def test_the_same_of_several_equal_rows_stays(spark):
+    rows = [(1, "a b c d e f", "en", f"s{i}", i) for i in range(20)]
+    kept = [tuple(r) for n in (1, 7) for r in jaccard.one_of_each(spark.createDataFrame(rows, DOCS).repartition(n)).collect()]
+    assert len(kept) == 2 and kept[0] == kept[1]
+
+
 @pytest.mark.parametrize("edges", [[(1, 2), (2, 3), (5, 6)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 90)] + [(100, 101), (101, 90)], [(3, 3)], []])
 def test_components(spark, edges):
     found = components(spark.createDataFrame(edges, "a bigint, b bigint"), "test").collect()
