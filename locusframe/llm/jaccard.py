@@ -20,8 +20,8 @@ TREES, DEPTH = 32, 8
 _PER_LONG = 4
 #: Least and most texts in a block of a trie node, or of a candidate group; bytes of gram differences in a block of the latter.
 NODE_BLOCK, GROUP_BLOCK, BLOCK_BYTES = (256, 1024), (64, 512), 8 << 20
-#: Texts, and words of them, that are held against their group's head in one task.
-HEAD_TEXTS, HEAD_WORDS = 512, 1_000_000
+#: Least and most texts, and words of them, that are held against their group's head together; chunks that a group is cut into between the two.
+HEAD_TEXTS, HEAD_WORDS, HEAD_CHUNKS = (16, 512), 1_000_000, 128
 #: Estimated similarity below the threshold from which a pair is a candidate: over six standard errors at 0.8 for 256 values.
 MARGIN = 0.16
 _VERIFY_COLUMNS = 8192
@@ -310,7 +310,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     wanted = groups.join(texts.select("node", "digest", "text_id", "n_docs", "words"), "node")
     sizes = save(wanted.groupBy("label").agg(F.count("*").alias("n"), F.sum("words").alias("sum_words")), "jaccard-sizes")
     wanted = join_hot(wanted, sizes, "label", "n", total)
-    wanted = save(wanted.withColumn("chunks", F.greatest(F.ceil(F.col("n") / HEAD_TEXTS), F.least(F.col("n"), F.ceil(F.col("sum_words") / HEAD_WORDS)), F.lit(1))), "jaccard-wanted")
+    wanted = save(wanted.withColumn("chunks", F.greatest(F.ceil(F.col("n") / F.greatest(F.lit(HEAD_TEXTS[0]), F.least(F.lit(HEAD_TEXTS[1]), F.col("n") / HEAD_CHUNKS))), F.least(F.col("n"), F.ceil(F.col("sum_words") / HEAD_WORDS)), F.lit(1))), "jaccard-wanted")
     # The text of one document for each candidate text; only likely rows move, one of each text from a task.
     asked = maybe_in(wanted.select(F.xxhash64("digest", "text_id").alias("h")))
     marked = rows.select("text", text_digest(F.col("text")).alias("digest"), "doc_id")
