@@ -8,6 +8,7 @@ import contextlib
 import shutil
 import tempfile
 import uuid
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -22,8 +23,8 @@ from locusframe.shipping import ship  # noqa: F401
 BROADCAST_ROWS = 20_000
 #: Most words of 64 bits in a filter of hashes (2 MB), bits that a hash sets in it, and bits that it has for each.
 FILTER_WORDS, FILTER_PROBES, FILTER_BITS = 1 << 18, 4, 16
-#: Rows of a part that is made by ranges; least rows for which another part is worth its task; bytes of text in a part.
-PART_ROWS, LEAST_ROWS, PART_BYTES = 250_000, 4_000, 24 << 20
+#: Rows of a part that is made by ranges; least rows for which another part is worth its task; bytes of text in a part; most parts.
+PART_ROWS, LEAST_ROWS, PART_BYTES, MOST_PARTS = 250_000, 4_000, 24 << 20, 50_000
 _LOCAL: dict[str, str] = {}
 _OPEN: list[list[str]] = []
 
@@ -135,15 +136,46 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[named(c) for c in df.columns])
 
 
-def unpacked(df: DataFrame, like: DataFrame, row: str = "row", **new: Column) -> DataFrame:
+def unpacked(df: DataFrame, like: DataFrame, row: str = "row", new: dict[str, Column] | None = None) -> DataFrame:
     """The columns of ``like`` out of the struct ``row``, those named in ``new`` replaced."""
-    return df.select(*[new[c].alias(c) if c in new else F.col(row).getField(c).alias(c) for c in like.columns])
+    return df.select(*[(new or {}).get(c, F.col(row).getField(c)).alias(c) for c in like.columns])
 
 
 def parts_for(df: DataFrame, rows: int, size: int = 0) -> int:
     """Parts for ``rows`` rows with ``size`` bytes of text: enough to bound a part, fewer than the session's number where that would leave little in each."""
     session = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, -(-rows // PART_ROWS), -(-size // PART_BYTES), min(session, -(-rows // LEAST_ROWS)))
+    return min(MOST_PARTS, max(1, -(-rows // PART_ROWS), -(-size // PART_BYTES), min(session, -(-rows // LEAST_ROWS))))
+
+
+#: Beside the id, what puts rows of one id in order: a hash of the text, then the row's number in the scan.
+TIES = ("text_hash", "scan_row")
+
+
+def with_ties(df: DataFrame, text: Column) -> DataFrame:
+    return df.withColumn(TIES[0], F.xxhash64(text)).withColumn(TIES[1], F.monotonically_increasing_id())
+
+
+def _place(doc_id, text_hash: int, row: int, nulls_last: bool) -> tuple:
+    return ((doc_id is None) == nulls_last, 0 if doc_id is None else doc_id, text_hash, row)
+
+
+def range_bounds(rows: DataFrame, text_col: str, tag: str, nulls_last: bool) -> list[tuple]:
+    """Least places, but for the first, of ranges of (doc_id, ties) that hold about PART_BYTES of text each.
+
+    Only keys and sizes are moved for it. A row for each range comes to the driver,
+    MOST_PARTS at most. An id of any number of rows spans several ranges.
+    """
+    keys = save(rows.select("doc_id", *TIES, F.octet_length(text_col).alias("bytes")), tag)
+    n, size = keys.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    order = [F.col("doc_id").asc_nulls_last() if nulls_last else F.col("doc_id").asc_nulls_first(), *map(F.col, TIES)]
+    ranges = keys.repartitionByRange(parts_for(rows, n, size), *order).groupBy(F.spark_partition_id())
+    least = ranges.agg(F.min(F.struct(F.col("doc_id").isNull() if nulls_last else F.col("doc_id").isNotNull(), "doc_id", *TIES)).alias("least")).select("least.*").collect()
+    discard(keys)
+    return sorted(_place(*r[1:], nulls_last) for r in least)[1:]
+
+
+def range_of(bounds: list[tuple], ids: list, hashes: list[int], rows: list[int], nulls_last: bool) -> list[int]:
+    return [bisect_right(bounds, _place(*x, nulls_last)) for x in zip(ids, hashes, rows)]
 
 
 def numbered(df: DataFrame, keys: list[Column], index: str, tag: str) -> DataFrame:

@@ -17,12 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import runs, save, ship
-from locusframe.llm.pairs import Sets, gridded
+from locusframe.llm.common import TIES, discard, join_hot, maybe_in, named, parts_for, range_bounds, range_of, runs, save, ship, with_ties
+from locusframe.llm.components import components
+from locusframe.llm.pairs import Sets, gridded, sides
 from locusframe.llm.shingles import kept
 
 SAMPLES, PERIOD, CLASSES = 128, 256, 256
@@ -32,6 +34,8 @@ PIECE, LEAD = 4096, 512
 _CELLS, _BATCH_CHARS = 4_000_000, 2_000_000
 #: Least and most fingerprints in a block of a band; a task compares a block with itself or with another.
 BAND_BLOCK = (256, 1024)
+#: Bands of a fingerprint, sampled values in each, and the likeness from which two are near.
+BANDS, PLACES, NEAR = 16, 6, 0.8
 
 
 def _stays() -> np.ndarray:
@@ -214,26 +218,46 @@ def _row_batch(ids: pa.Array, rows: list[tuple], **edge) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, *columns, *part], ["doc_id", *_FIELDS, "part", "place", "text"])
 
 
+def _packed(bounds: list[tuple]):
+    """Rows with the range of ids they are in, largest ids first, and their texts compressed for the way there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                part = range_of(bounds, *[batch.column(c).to_pylist() for c in ("doc_id", *TIES)], nulls_last=False)
+                text = [squeeze(t.as_buffer()) for t in batch.column("text").cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array([len(bounds) - p for p in part], pa.int64()), *[batch.column(c) for c in ("doc_id", *TIES)], pa.array(text, pa.binary())], ["part", "doc_id", *TIES, "packed"])
+
+    return run
+
+
 def _with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with their followers in the task; its first and last row come with their texts, for the tasks beside it."""
-    part, ids, texts, chars, opened = TaskContext.get().partitionId(), [], [], 0, False
+    """Rows with their followers in the range; its first and last row come with their texts, for the ranges beside it."""
+    part, ids, texts, chars, unpack = None, [], [], 0, zstandard.ZstdDecompressor().decompress
+
+    def closed() -> Iterator[pa.RecordBatch]:
+        if len(texts) > 1:
+            yield _row_batch(pa.concat_arrays(ids[:-1]), compared(texts))
+        if texts:
+            yield _row_batch(ids[-1], [], part=part, place=1, text=texts[-1])
+
     for batch in batches:
-        column = batch.column("text")
+        parts, packed = batch.column("part").to_pylist(), batch.column("packed")
         for i in range(batch.num_rows):
-            text = column[i].as_py() or ""
-            if not opened:
-                yield _row_batch(batch.column("doc_id").slice(i, 1), [], part=part, place=0, text=text)
-                opened = True
-            ids.append(batch.column("doc_id").slice(i, 1))
+            text, own = unpack(packed[i].as_buffer()).decode("utf-8", "surrogatepass"), batch.column("doc_id").slice(i, 1)
+            if parts[i] != part:
+                yield from closed()
+                part, ids, texts, chars = parts[i], [], [], 0
+                yield _row_batch(own, [], part=part, place=0, text=text)
+            ids.append(own)
             texts.append(text)
             chars += len(text)
             if chars >= _BATCH_CHARS and len(texts) > 1:
                 yield _row_batch(pa.concat_arrays(ids[:-1]), compared(texts))
                 ids, texts, chars = ids[-1:], texts[-1:], len(texts[-1])
-    if len(texts) > 1:
-        yield _row_batch(pa.concat_arrays(ids[:-1]), compared(texts))
-    if texts:
-        yield _row_batch(ids[-1], [], part=part, place=1, text=texts[-1])
+    yield from closed()
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,28 +269,29 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """One row a document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, as a saved table.
 
     The next document is the one with the next smaller id; after the last comes the
-    first. Whole texts are dealt once, by ranges of the id; only the first and the
-    last row of each range are looked at again, to pair neighbouring ranges.
+    first. Whole texts are dealt once, compressed, by ranges of the id that hold about
+    as much text each; only the first and the last row of each range are looked at
+    again, to pair neighbouring ranges.
 
     A null text counts as empty; an empty text has an empty fingerprint, alike to
-    another empty one (1) and to no other (0). Null ids come last; equal ids are in
-    order of their texts' hashes. A single document is its own next one. An empty
-    table gives an empty result. Other columns of ``docs`` are not read.
+    another empty one (1) and to no other (0). A very long text is walked in pieces and
+    takes some 20 bytes a character in its task. Null ids come last; equal ids are in
+    order of their texts' hashes, largest first, and repeated rows follow one another. A
+    single document is its own next one. An empty table gives an empty result. Other
+    columns of ``docs`` are not read.
     """
-    from pyspark.sql import Window as W
-
-    spark = docs.sparkSession
-    ship(spark)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    ship(docs.sparkSession)
+    rows = docs.select(named(id_col).alias("doc_id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    rows = rows.withColumn("_h", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id())
-    order = [F.col("doc_id").desc_nulls_last(), F.col("_h"), F.col("_row")]
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
-    done = save(dealt.mapInArrow(_with_next, f"doc_id {kind}, {_DDL}, part long, place int, text string"), "fingerprints")
+    rows = with_ties(rows, F.col("text"))
+    bounds = range_bounds(rows, "text", "fingerprint-keys", nulls_last=False)
+    order = ["part", F.col("doc_id").desc_nulls_last(), *[F.col(c).desc() for c in TIES]]
+    packed = rows.mapInArrow(_packed(bounds), f"part long, doc_id {kind}, {TIES[0]} long, {TIES[1]} long, packed binary")
+    dealt = packed.repartition(len(bounds) + 1, "part").sortWithinPartitions(*order).select("part", "doc_id", "packed")
+    done = save(dealt.mapInArrow(_with_next, f"doc_id {kind}, {_DDL}, part long, place int, text string"), "fingerprint-parts")
     edges = done.filter("part IS NOT NULL")
     # One row a range: the window's single task gets as many rows as there are ranges.
     parts = edges.filter("place = 0").select("part").distinct()
@@ -274,7 +299,9 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     last = edges.filter("place = 1").select("doc_id", "text", "part").join(F.broadcast(after), "part")
     first = edges.filter("place = 0").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"))
     paired = last.join(first, "next_part").select("doc_id", "text", "next_text").mapInArrow(_edges, f"doc_id {kind}, {_DDL}")
-    return done.filter("part IS NULL").select("doc_id", *_FIELDS).unionByName(paired)
+    out = done.filter("part IS NULL").select("doc_id", *_FIELDS).unionByName(paired)
+    out._saved_at = done._saved_at
+    return out
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,41 +311,61 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.string())], ["doc_id", "fingerprint"])
 
 
-def _band_keys(bands: int, places_each: int):
-    """Keys of random subsets of a fingerprint's values, at its own level and the next coarser one.
+def _band_keys(bands: int, places_each: int, least: float):
+    """Bands of a fingerprint: random subsets of its values, at its own level and at those that an alike one may be on.
 
     A band takes, of its own random order of all SAMPLES places, the first that the
     fingerprint has. So the whole text is drawn from, and fingerprints whose numbers
-    of values differ a little take the same places but for few.
+    of values differ a little take the same places but for few. Its key holds the
+    level, the band's number and, mixed, the values.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pick = np.random.default_rng(77)
         orders = [pick.permutation(SAMPLES) for _ in range(bands)]
         for batch in batches:
-            ids, prints, keys = [], [], []
-            for i, f in enumerate(batch.column("fingerprint").to_pylist()):
-                level, values = int(f[:2], 16), np.frombuffer(bytes.fromhex(f[2:]), np.uint8)
-                for up in (0, 1):
-                    if up:
-                        blocks = np.arange((len(values) + 1) // 2)
-                        child = 2 * blocks + _bit(level + 1, blocks)
-                        values = values[child[child < len(values)]]
+            prints = batch.column("fingerprint").to_pylist()
+            like: dict[tuple[int, int], list[int]] = {}
+            for i, f in enumerate(prints):
+                like.setdefault((int(f[:2], 16), (len(f) - 2) // 2), []).append(i)
+            rows, keys = [], []
+            for (level, n), own in like.items():
+                values = np.frombuffer(bytes.fromhex("".join(prints[i][2:] for i in own)), np.uint8).reshape(len(own), n)
+                while True:
                     for b, order in enumerate(orders):
-                        at = order[order < len(values)][:places_each]
-                        keys.append(hashlib.blake2b(bytes([level + up, b]) + values[at].tobytes(), digest_size=16).digest())
-                        ids.append(i)
-                        prints.append(f)
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(ids, pa.int64())), pa.array(prints, pa.string()), pa.array(keys, pa.binary())], ["node", "fingerprint", "band"])
+                        key = np.full(len(own), level << 8 | b, np.uint64)
+                        for at in order[order < values.shape[1]][:places_each]:
+                            key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ (key >> np.uint64(29)) ^ values[:, at]
+                        rows.append(np.array(own, np.int64))
+                        keys.append(key)
+                    # An alike fingerprint has values / least at most; it is on the next level if that is more than SAMPLES.
+                    if values.shape[1] <= least * SAMPLES:
+                        break
+                    level, blocks = level + 1, np.arange((values.shape[1] + 1) // 2)
+                    child = 2 * blocks + _bit(level, blocks)
+                    values = values[:, child[child < values.shape[1]]]
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(keys).view(np.int64))], ["node", "band"])
 
     return run
 
 
-def _all_likenesses(values: np.ndarray, sizes: np.ndarray, x: int) -> np.ndarray:
-    """``likeness`` of row x to each later row; rows are values on one level, padded to equal length by 256."""
-    same = np.count_nonzero(values[x + 1 :, : sizes[x]] == values[x, : sizes[x]], axis=1)
-    most = np.maximum(sizes[x + 1 :], sizes[x])
-    return np.where(most > 0, same / np.maximum(most, 1), 1.0)
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a part sorted by band, the rows whose band a neighbour has too; the part's first and last row may be met in the parts beside it."""
+    held, before = None, np.array([True])
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+        band = rows.column("band").to_numpy()
+        same = band[1:] == band[:-1]
+        if len(same):
+            keep = np.flatnonzero(np.append(before, same[:-1]) | same)
+            yield rows.take(pa.array(keep))
+            before = same[-1:]
+        held = rows.slice(rows.num_rows - 1, 1)
+    if held is not None:
+        yield held
 
 
 def _on_level(prints: list[str], level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -336,57 +383,101 @@ def _spanning_pairs(least: float):
     """Per band (or pair of its blocks): pairs at least ``least`` alike that hang together all members that such pairs do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j), g, schema in runs(batches, ["band", "i", "j"]):
-            levels, block = np.array([int(f[:2], 16) for f in g["fingerprint"]]), np.array(g["block"])
+        for (_, i, j), g, _ in runs(batches, ["band", "i", "j"]):
+            levels, node = np.array([int(f[:2], 16) for f in g["fingerprint"]]), g["node"]
             sets, found = Sets(len(levels)), []
+            left, right = sides(g["block"], i, j)
             # A pair is compared on the coarser of its levels: with a fingerprint of level k, all of k and below.
-            by_level = {int(k): _on_level([f for f, own in zip(g["fingerprint"], levels) if own <= k], int(k)) for k in np.unique(levels)}
-            for k, (values, sizes) in by_level.items():
+            for k in np.unique(levels).tolist():
                 member = np.flatnonzero(levels <= k)
-                for x in range(len(member) - 1):
-                    near = _all_likenesses(values, sizes, x)
-                    others = member[x + 1 :]
-                    hit = (near >= least) & (np.maximum(levels[others], levels[member[x]]) == k)
-                    if i != j:
-                        hit &= block[others] != block[member[x]]
-                    for y in np.flatnonzero(hit).tolist():
-                        a, b = int(member[x]), int(others[y])
-                        if sets.head[a] != sets.head[b]:
-                            sets.join(a, np.array([b]))
-                            found.append((g["node"][a], g["node"][b], float(near[y])))
+                values, sizes = _on_level([g["fingerprint"][m] for m in member], k)
+                at = np.zeros(len(levels), np.int64)
+                at[member] = np.arange(len(member))
+                rows, others_of = left[levels[left] <= k], right[levels[right] <= k]
+                for n, x in enumerate(rows):
+                    others = others_of[n + 1 :] if i == j else others_of
+                    same = np.count_nonzero(values[at[others], : sizes[at[x]]] == values[at[x], : sizes[at[x]]], axis=1)
+                    most = np.maximum(sizes[at[others]], sizes[at[x]])
+                    near = np.where(most > 0, same / np.maximum(most, 1), 1.0)
+                    hit = np.flatnonzero((near >= least) & (np.maximum(levels[others], levels[x]) == k))
+                    # One pair for each set that the row is not in yet.
+                    heads, first = np.unique(sets.head[others[hit]], return_index=True)
+                    for y in hit[first[heads != sets.head[x]]]:
+                        found.append((node[x], node[others[y]], float(near[y])))
+                    sets.join(x, others[hit])
             if found:
-                kind = schema.field("node").type
-                yield pa.RecordBatch.from_arrays([pa.array([min(a, b) for a, b, _ in found], kind), pa.array([max(a, b) for a, b, _ in found], kind), pa.array([x for *_, x in found], pa.float64())], ["head_id", "doc_id", "near"])
+                yield pa.RecordBatch.from_arrays([pa.array([min(a, b) for a, b, _ in found], pa.int64()), pa.array([max(a, b) for a, b, _ in found], pa.int64()), pa.array([x for *_, x in found], pa.float64())], ["a", "b", "near"])
 
     return run
 
 
-def near_in_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bands: int = 16, places_each: int = 6, least: float = 0.8) -> DataFrame:
+def _near_nodes(prints: DataFrame, bands: int, places_each: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """Different fingerprints (node, fingerprint, least_id, copies) and the pairs (a, b, near) of nodes that span the near ones, as saved tables."""
+    nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
+    nodes = save(nodes.withColumn("node", F.xxhash64("fingerprint")), "edit-nodes")
+    banded = save(nodes.select("node", "fingerprint").mapInArrow(_band_keys(bands, places_each, least), "node long, band long"), "edit-bands")
+    total = banded.count()
+    # Cut by ranges: a band of any number of fingerprints may span many parts.
+    sorted_ = banded.repartitionByRange(parts_for(banded, total), "band", "node").sortWithinPartitions("band", "node")
+    met = save(sorted_.mapInArrow(_met, "node long, band long"), "edit-met")
+    # Bands of the same members are looked at once.
+    sized = met.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members"), F.min("node").alias("first")).filter("n > 1")
+    sized = save(sized.groupBy("n", "members", "first").agg(F.min("band").alias("band")).select("band", "n"), "edit-sized")
+    grid = gridded(join_hot(met, sized, "band", "n", total).join(nodes.select("node", "fingerprint"), "node"), "band", "node", BAND_BLOCK)
+    pairs = save(grid.select("band", "i", "j", "block", "node", "fingerprint").mapInArrow(_spanning_pairs(least), "a long, b long, near double"), "edit-pairs")
+    discard(banded, met, sized)
+    return nodes, pairs
+
+
+def near_in_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, places_each: int = PLACES, least: float = NEAR) -> DataFrame:
     """Pairs (head_id, doc_id, near), head_id < doc_id, whose fingerprints are ``least`` alike and share a band, enough to span all such pairs.
 
     A band is a random subset of the sampled values, from the whole text. All members of a band are
     compared with one another, in pairs of blocks where it has more than a block's
-    size, and from each task come the pairs of a spanning forest: any two
+    size (work in the square of its different fingerprints), and from each task come the pairs of a spanning forest: any two
     documents that share a band and are alike hang together over rows of the result,
     and a band of any size gives a row or so a member and block, never all pairs. Each
     row is a pair that was compared itself. Likeness is that of the sampled places.
 
     Documents with one fingerprint are one member, under the least of their ids, and
-    each of the others gets a row with that id (near is 1). Null ids take no part, and
-    an id is not paired with itself, if it repeats. Which pairs span is fixed by the data.
+    each of the others gets a row with that id (near is 1). A null text counts as empty,
+    empty texts are copies, and texts of any length have fingerprints of like size. Null
+    ids take no part, and an id is not paired with itself, if it repeats. Which pairs span is fixed by the
+    data. An empty table gives an empty result. Other columns of ``docs`` are not read.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
+    ship(docs.sparkSession)
+    rows = docs.select(named(id_col).alias("doc_id"), F.coalesce(named(text_col), F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
     kind = rows.schema["doc_id"].dataType.simpleString()
     prints = save(rows.mapInArrow(_prints, f"doc_id {kind}, fingerprint string"), "edit-prints")
-    # Written, so that a common fingerprint is one short row for the join with its copies.
-    distinct = save(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "edit-nodes")
-    copies = prints.join(distinct.filter("copies > 1"), "fingerprint").select(F.col("node").alias("head_id"), "doc_id", F.lit(1.0).alias("near"))
-    banded = save(distinct.select("node", "fingerprint").mapInArrow(_band_keys(bands, places_each), f"node {kind}, fingerprint string, band binary"), "edit-bands")
-    # Bands of the same members are looked at once.
-    sized = banded.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fingerprint")).alias("members"), F.min("fingerprint").alias("first")).filter("n > 1")
-    sized = sized.groupBy("n", "members", "first").agg(F.min("band").alias("band")).select("band", "n")
-    met = gridded(banded.join(sized, "band"), "band", "fingerprint", BAND_BLOCK)
-    spanning = met.select("band", "i", "j", "block", "node", "fingerprint").mapInArrow(_spanning_pairs(least), f"head_id {kind}, doc_id {kind}, near double")
+    nodes, pairs = _near_nodes(prints, bands, places_each, least)
+    several = nodes.filter("copies > 1").select("fingerprint", F.col("least_id").alias("head_id"), "copies")
+    copies = join_hot(prints, several, "fingerprint", "copies", prints.count()).select("head_id", "doc_id", F.lit(1.0).alias("near"))
+    id_of = lambda node: nodes.select(F.col("node").alias(node), F.col("least_id").alias(f"{node}_id"))
+    spanning = pairs.join(id_of("a"), "a").join(id_of("b"), "b").select(F.least("a_id", "b_id").alias("head_id"), F.greatest("a_id", "b_id").alias("doc_id"), "near")
     return copies.unionByName(spanning).filter("head_id <> doc_id").distinct()
+
+
+def with_near_classes(prints: DataFrame, *, bands: int = BANDS, places_each: int = PLACES, least: float = NEAR) -> DataFrame:
+    """``prints``, a saved table with doc_id and fingerprint, with near_class and near_docs: the least id that a document
+    hangs together with over pairs that share a band and are ``least`` alike (see near_in_edits), and the number of documents that do.
+
+    Rows of fingerprints that are alone, as a filter of hashes tells, are not moved. A
+    class of null ids has a null near_class. Ties, repeated rows, empty texts and an
+    empty table are as in near_in_edits.
+    """
+    ship(prints.sparkSession)
+    nodes, pairs = _near_nodes(prints.select("doc_id", "fingerprint"), bands, places_each, least)
+    stars = components(pairs.select("a", "b"), "edit-classes")
+    total = prints.count()
+    # Fingerprints of several documents, and those near another one.
+    placed = nodes.select("node", "least_id", "copies").join(stars, "node", "left").filter("copies > 1 OR label IS NOT NULL")
+    placed = save(placed.withColumn("label", F.coalesce("label", "node")), "edit-placed")
+    classes = save(placed.groupBy("label").agg(F.min("least_id").alias("near_class"), F.sum("copies").alias("near_docs"), F.count("*").alias("n")), "edit-class")
+    known = save(join_hot(placed, classes, "label", "n", total).select("node", "copies", "near_class", "near_docs").dropDuplicates(["node"]), "edit-known")
+    several = maybe_in(known.select("node"))
+    keyed = prints.withColumn("node", F.xxhash64("fingerprint"))
+    met = join_hot(keyed.filter(several(F.col("node"))), known, "node", "copies", total).select(*prints.columns, "near_class", "near_docs")
+    # Rows that the filter lets by and that are in no class after all.
+    alone = keyed.filter(several(F.col("node"))).join(known.select("node"), "node", "left_anti").unionByName(keyed.filter(~several(F.col("node"))))
+    discard(nodes, pairs, stars, placed, classes)
+    return met.unionByName(alone.select(*prints.columns, F.col("doc_id").alias("near_class"), F.lit(1).cast("long").alias("near_docs")))

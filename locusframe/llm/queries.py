@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from locusframe.llm import secret_scan, token_files, warc
 from locusframe.llm.common import table
-from locusframe.llm.edit_fingerprint import fingerprint_documents
+from locusframe.llm.edit_fingerprint import fingerprint_documents, with_near_classes
 from locusframe.llm.jaccard import near_duplicates
 from locusframe.llm.mixing import mix
 from locusframe.llm.neighbours import nearest_neighbours
@@ -38,7 +38,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_documents(table(spark, sf_dir, "documents"))
+    return with_near_classes(fingerprint_documents(table(spark, sf_dir, "documents")))
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -328,3 +328,39 @@ def test_bands_see_the_whole_text(spark):
     found = {(r.head_id, r.doc_id) for r in ef.near_in_edits(spark.createDataFrame(rows, DOCS)).collect()}
     met = Counter((p[:2]) for i, p in enumerate(pairs) if (2 * i, 2 * i + 1) in found)
     assert all(met[place, n] >= 22 for n in (65, 96, 128) for place in (0.0, 0.42, 0.85)), met
+
+
+def near_classes(rows, prints, least=0.8):
+    """doc_id -> (least id, documents) of what hangs together over all pairs of fingerprints."""
+    head = {r[0]: r[0] for r in rows}
+    ids = sorted(head)
+    for x in ids:
+        for y in ids:
+            if x < y and head[x] != head[y] and ef.likeness(prints[x], prints[y]) >= least:
+                low, high = sorted((head[x], head[y]))
+                head = {d: low if h == high else h for d, h in head.items()}
+    sizes = Counter(head.values())
+    return {d: (h, sizes[h]) for d, h in head.items()}
+
+
+def test_classes_of_edited_copies(spark, monkeypatch):
+    """One large cluster of edited copies, small ones, copies and single documents, over blocks of a band too."""
+    rng = random.Random(31)
+    base, rows = prose(rng, 220), []
+    for i in range(60):
+        at = rng.randrange(len(base) - 40)
+        rows.append((i, base[:at] + prose(rng, 9)[:30] + base[at + 30 :], "en", "s", 0))
+    for i in range(20):
+        t = prose(rng, rng.choice([5, 60, 300]))
+        rows += [(100 + i, t, "en", "s", 0), (200 + i, t[:-2] + "#.", "en", "s", 0), (300 + i, t, "en", "s", 0)] if i % 2 else [(100 + i, t, "en", "s", 0)]
+    rows += [(400, "", "en", "s", 0), (401, None, "en", "s", 0)]
+    prints = dict(zip((r[0] for r in rows), ef.fingerprints([r[1] or "" for r in rows])))
+    expected = near_classes(rows, prints)
+    assert max(n for _, n in expected.values()) >= 40
+    for blocks in ((256, 1024), (7, 7)):
+        monkeypatch.setattr(ef, "BAND_BLOCK", blocks)
+        found = ef.with_near_classes(ef.fingerprint_documents(spark.createDataFrame(rows, DOCS))).collect()
+        assert {r.doc_id: (r.near_class, r.near_docs) for r in found} == expected and len(found) == len(rows)
+    odd = ef.with_near_classes(ef.fingerprint_documents(documents(spark, odd_rows()))).collect()
+    assert len(odd) == len(odd_rows()) and {r.near_docs for r in odd if r.n_chars == 0} == {2}
+    assert ef.with_near_classes(ef.fingerprint_documents(spark.createDataFrame([], DOCS))).collect() == []
