@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from locusframe.llm.common import fresh_folder, save, ship, take_place
+from locusframe.llm.common import TIES, fresh_folder, named, range_bounds, range_of, save, ship, take_place, with_ties
 from locusframe.llm.shingles import kept
 
 #: Different units a worker remembers the ids of, and the longest one remembered.
@@ -28,6 +27,11 @@ def _plain(text: str) -> bool:
     return not ("  " in text or "\n " in text or " \n" in text or "\n\n" in text or text[:1] in " \n" or text[-1:] in " \n") and text.replace("\n", "").isprintable()
 
 
+def _stays_in_unit(token: dict) -> bool:
+    """Whether an added token takes no white space beside it and holds none."""
+    return not (token["lstrip"] or token["rstrip"] or token["single_word"] or any(c.isspace() for c in token["content"]))
+
+
 class Encoder:
     """Encodes whole texts with a tokenizer of the tokenizers library.
 
@@ -58,6 +62,7 @@ class Encoder:
         shape = json.loads(self.tokenizer.to_str())
         pieces = shape["pre_tokenizer"] or {}
         self.in_units = pieces.get("type") == "ByteLevel" and pieces.get("use_regex", True) and not pieces.get("add_prefix_space") and not shape["normalizer"]
+        self.in_units = self.in_units and not shape.get("truncation") and not shape.get("padding") and all(_stays_in_unit(t) for t in shape["added_tokens"])
         self.in_units = self.in_units and self.encode([self._PROBE]) == [x.tobytes() for x in self._ids([self._PROBE])]
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -88,40 +93,44 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian integers of the encoder's width."""
-        flat: list[str] = []
-        bounds: list[tuple[int, int] | None] = []
-        for t in texts:
-            if t and self.in_units and _plain(t):
-                start = len(flat)
-                for line in t.split("\n"):
-                    units = line.split(" ")
-                    units[0] = "\0" + units[0]
-                    flat += units
-                    flat.append("\n")
-                bounds.append((start, len(flat) - 1))
-            else:
-                bounds.append(None)
         if len(self.recent) > CACHED_UNITS:
             self.older, self.recent = self.recent, {}
         self.recent["\n"] = self.line
-        ids = list(map(self.recent.get, flat))
-        holes = [i for i, x in enumerate(ids) if x is None]
+        known, join = self.recent.get, b"".join
+        out: list[bytes | None] = [None] * len(texts)
+        waiting: list[tuple[int, list[str]]] = []
+        other: list[int] = []
+        for i, t in enumerate(texts):
+            if not (t and self.in_units and _plain(t)):
+                other.append(i)
+                continue
+            units: list[str] = []
+            for line in t.split("\n"):
+                own = line.split(" ")
+                own[0] = "\0" + own[0]
+                units += own
+                units.append("\n")
+            units.pop()
+            try:
+                out[i] = join(map(known, units))
+            except TypeError:  # a unit is not known
+                waiting.append((i, units))
         met: dict[str, bytes | None] = {}
-        for i in holes:
-            u = flat[i]
-            if u not in met:
-                met[u] = self._found(u)
+        for _, units in waiting:
+            for u in units:
+                if u not in met and known(u) is None:
+                    met[u] = self._found(u)
         met.update(self._encode_units([u for u, x in met.items() if x is None]))
-        for i in holes:
-            ids[i] = met[flat[i]]
+        for i, units in waiting:
+            out[i] = join([known(u) or met[u] for u in units])
         self.recent.update((u, x) for u, x in met.items() if len(u) <= CACHED_CHARS)
-        other = [t for t, b in zip(texts, bounds) if b is None]
-        whole = iter(self._ids(other))
-        return [b"".join(ids[b[0] : b[1]]) if b else next(whole).tobytes() for b in bounds]
+        for i, ids in zip(other, self._ids([texts[i] for i in other])):
+            out[i] = ids.tobytes()
+        return out
 
 
-def _encoded(tokenizer: str, end_id: int, bounds: list):
-    """(part, doc_id, ids): the part is the number of bounds that an id is not below; null ids go to the last one."""
+def _encoded(tokenizer: str, end_id: int, bounds: list[tuple]):
+    """(part, doc_id, ties, ids): the part is the range of ids that a row is in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept(f"encoder-{tokenizer}", lambda: Encoder(tokenizer))
@@ -130,8 +139,8 @@ def _encoded(tokenizer: str, end_id: int, bounds: list):
             for at in range(0, batch.num_rows, 500):
                 rows = batch.slice(at, 500)
                 ids = [x + end for x in encoder.encode([t or "" for t in rows.column("text").to_pylist()])]
-                part = [len(bounds) if d is None else bisect_right(bounds, d) for d in rows.column("doc_id").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), rows.column("doc_id"), pa.array(ids, pa.binary())], ["part", "doc_id", "ids"])
+                part = range_of(bounds, *[rows.column(c).to_pylist() for c in ("doc_id", *TIES)], nulls_last=True)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *[rows.column(c) for c in ("doc_id", *TIES)], pa.array(ids, pa.binary())], ["part", "doc_id", *TIES, "ids"])
 
     return run
 
@@ -193,22 +202,19 @@ def _writer(folder: str, width: int):
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the files and returns their parts: part, file, n_docs, n_ids, first_doc, first_id, width.
 
-    Texts are encoded where they lie; only ids move, by ranges of the document id.
-    Each range is a part: ``.bin`` holds unsigned ids without a break, ``.idx`` the
-    documents' 64-bit ends in it, ``.doc`` their ids. The parts' bases are prefix
-    sums over one row a part.
+    Texts are encoded where they lie; only ids move, by ranges of the document id that
+    stand for about as much text each, however much there is. Each range is a part:
+    ``.bin`` holds unsigned ids without a break, ``.idx`` the documents' 64-bit ends in
+    it, ``.doc`` their ids. The parts' bases are prefix sums over one row a part.
     """
     spark = docs.sparkSession
     ship(spark)
     width = np.dtype(Encoder(tokenizer).kind).itemsize
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = rows.select("doc_id").filter("doc_id IS NOT NULL").repartitionByRange(n, "doc_id")
-    # A row for each of the n ranges comes to the driver: their least ids, which no size of the input adds to.
-    bounds = sorted(r[0] for r in ranges.groupBy(F.spark_partition_id()).agg(F.min("doc_id")).select("min(doc_id)").collect())[1:]
-    ddl = f"part int, doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary"
+    rows = with_ties(docs.select(named(id_col).alias("doc_id"), F.coalesce(named(text_col), F.lit("")).alias("text")), F.col("text"))
+    bounds = range_bounds(rows, "text", "token-keys", nulls_last=True)
+    ddl = f"part int, doc_id {rows.schema['doc_id'].dataType.simpleString()}, {TIES[0]} long, {TIES[1]} long, ids binary"
     encoded = rows.mapInArrow(_encoded(tokenizer, end_id, bounds), ddl)
-    dealt = encoded.repartition(n, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), "ids")
+    dealt = encoded.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), *TIES)
     parts = save(dealt.mapInArrow(_writer(folder, width), "part int, file string, n_docs long, n_ids long"), "token-parts")
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)
     base = lambda c: F.sum(c).over(before) - F.col(c)
@@ -251,9 +257,10 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, *, id_col: str
     """Encodes ``docs``, writes the files in the shared folder and reads them back (see the two functions above).
 
     A null text is encoded as the empty one: its only id is ``end_id``. Null ids come
-    last; equal ids are in order of their token ids. An empty table gives no files
-    and an empty result. Other columns of ``docs`` are not read.
+    last; equal ids are in order of their texts' hashes, and repeated rows follow one
+    another. A text of any length is one row. An empty table gives no files and an empty
+    result. Other columns of ``docs`` are not read.
     """
     folder = fresh_folder(docs.sparkSession, "tokens")
     parts = write_token_files(docs, folder, tokenizer, end_id, id_col=id_col, text_col=text_col)
-    return read_token_files(parts, folder, docs.schema[id_col].dataType.simpleString())
+    return read_token_files(parts, folder, docs.select(named(id_col)).schema[0].dataType.simpleString())

@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import io
+import json
 import random
 import zlib
 from pathlib import Path
@@ -176,6 +177,36 @@ def test_units_give_the_library_s_ids(name):
     assert encoder.in_units == name.startswith("byte")
 
 
+@pytest.mark.parametrize("change", ["lstrip", "rstrip", "single_word", "space", "truncation", "padding"])
+def test_tokenizers_that_look_beyond_a_unit_take_whole_texts(tmp_path, change):
+    shape = json.loads(Path(public_tokenizers.path("byte_bpe_50k.json")).read_text())
+    token = shape["added_tokens"][0]
+    if change == "space":
+        token["content"] = "<a b>"
+    elif change in token:
+        token[change] = True
+    else:
+        shape[change] = {"truncation": {"direction": "Right", "max_length": 3, "strategy": "LongestFirst", "stride": 0}, "padding": {"strategy": {"Fixed": 8}, "direction": "Right", "pad_to_multiple_of": None, "pad_id": 0, "pad_type_id": 0, "pad_token": "!"}}[change]
+    (tmp_path / "t.json").write_text(json.dumps(shape))
+    encoder = token_files.Encoder(str(tmp_path / "t.json"))
+    texts = ["ab <|endoftext|> cd", "one two <a b> three", "a b c d e f g h i j k", "x"]
+    assert not encoder.in_units and encoder.encode(texts) == [np.array(e.ids, encoder.kind).tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_parts_follow_the_size_of_the_texts(spark, monkeypatch):
+    """Ranges hold about as much text each; an id with a third of the rows spans several."""
+    from locusframe.llm import common
+
+    path, folder = public_tokenizers.path("byte_bpe_50k.json"), fresh_folder(spark, "test-tokens")
+    monkeypatch.setattr(common, "PART_BYTES", 10_000)
+    rows = [(i if i % 3 else 7, f"text {i} " * 40, "en", "s", 0) for i in range(300)]
+    parts = token_files.write_token_files(spark.createDataFrame(rows, DOCS), folder, path, 2).collect()
+    assert len(parts) >= 10 and max(p.n_docs for p in parts) < 80 and sum(p.n_docs for p in parts) == 300
+    found = [(r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.round_trip(spark.createDataFrame(rows, DOCS), path).collect()]
+    ids = tokenized([r[1] for r in rows])
+    assert sorted(found) == sorted((r[0], len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for r, x in zip(rows, ids))
+
+
 def test_cache_of_units_turns_over(monkeypatch):
     monkeypatch.setattr(token_files, "CACHED_UNITS", 5)
     encoder = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
