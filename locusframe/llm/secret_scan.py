@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import let
+from locusframe.llm.common import let, named, unpacked, whole_row
 
 # The base patterns of a scan, with the least number of characters.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -95,18 +95,27 @@ def _hot_window(codes: Column, c: CharClass) -> Column:
     """(first, last) character of the windows of ``c.window`` characters that reach ``c.bits``; null if none does.
 
     One pass: the counts and the sum of count * log2(count) change by the
-    character that enters a window and by the one that leaves it.
+    character that enters a window and by the one that leaves it. Counts lie side by
+    side in a few numbers, with as many bits each as the window's size takes.
     """
     terms = F.array(*[F.lit(x * math.log2(x) if x else 0.0) for x in range(c.window + 1)])
     term = lambda n: F.get(terms, n)
     most = c.window * (math.log2(c.window) - c.bits) + 1e-9  # of the sum, at c.bits of entropy
-    start = F.struct(F.array_repeat(F.lit(0), len(c.alphabet) + 1).alias("n"), F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    wide = c.window.bit_length()
+    each = 62 // wide
+    numbers = -(-(len(c.alphabet) + 1) // each)
+    # Where a character's count is: which number, and its lowest bit there.
+    where = F.array(*[F.struct(F.lit(x // each).alias("number"), F.lit(1 << (x % each * wide)).cast("long").alias("one")) for x in range(len(c.alphabet) + 1)])
+    start = F.struct(F.array_repeat(F.lit(0).cast("long"), numbers).alias("n"), F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
 
     def step(state: Column, i: Column) -> Column:
         new, old = F.get(codes, i), F.when(i >= c.window, F.get(codes, i - c.window)).otherwise(-1)
-        n_new, n_old = F.get(state["n"], new), F.get(state["n"], F.greatest(old, F.lit(0)))
+        at_new, at_old = F.get(where, new), F.get(where, F.greatest(old, F.lit(0)))
+        count = lambda at: F.floor(F.get(state["n"], at["number"]) / at["one"]).bitwiseAND(F.lit((1 << wide) - 1)).cast("int")
+        n_new, n_old = count(at_new), count(at_old)
         change = F.when(new == old, 0.0).otherwise(term(n_new + 1) - term(n_new) + F.when(old >= 0, term(n_old - 1) - term(n_old)).otherwise(0.0))
-        counts = F.when(new == old, state["n"]).otherwise(F.transform(state["n"], lambda n, at: n + F.when(at == new, 1).when(at == old, -1).otherwise(0)))
+        moved = lambda n, at: n + F.when(at == at_new["number"], at_new["one"]).otherwise(0) - F.when((old >= 0) & (at == at_old["number"]), at_old["one"]).otherwise(0)
+        counts = F.when(new == old, state["n"]).otherwise(F.transform(state["n"], moved))
         total = state["sum"] + change
         hot = (i >= c.window - 1) & (total <= most)
         return F.struct(counts.alias("n"), total.alias("sum"), F.when(state["first"].isNull() & hot, i - (c.window - 1)).otherwise(state["first"]).alias("first"), F.when(hot, i + 1).otherwise(state["last"]).alias("last"))
@@ -134,25 +143,28 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(name, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), allow: tuple[str, ...] = ALLOW) -> DataFrame:
-    """One row a document: doc_id, the columns in ``keep``, and arrays ``base`` and ``all`` of spans (s, k, e).
+def _with_spans(rows: DataFrame, allow: tuple[str, ...]) -> DataFrame:
+    """``rows`` with arrays ``base`` and ``all`` of the spans of their column ``text``."""
+    t = F.col("text")
+    base = F.sort_array(F.concat(*[base_spans(t, k) for k in LEAST]))
+    found = rows.withColumn("base", base).withColumn("more", F.concat(*[entropy_spans(t, c, allow) for c in CLASSES]))
+    return found.withColumn("all", F.sort_array(F.concat("base", "more")))
+
+
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", allow: tuple[str, ...] = ALLOW) -> DataFrame:
+    """One row a document: doc_id, and arrays ``base`` and ``all`` of spans (s, k, e).
 
     s and e are code points of the whole text, e exclusive; k numbers KINDS. ``base``
     holds the spans of the three fixed patterns, ``all`` those and the spans of
     high-entropy windows; both are in order of start, then kind.
 
-    A null text counts as empty and an empty text has no spans. Rows are
-    independent: ties, repeated rows and null ids pass through, an empty table
-    gives an empty result, and columns that are not named are not read. Only
+    A null text counts as empty and an empty text has no spans; a text of any length
+    is one row. Rows are independent: ties, repeated rows and null ids pass through, an
+    empty table gives an empty result, and columns that are not named are not read. Only
     DataFrame functions run here; the rows are never shuffled.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
-    t = F.col("_text")
-    base = F.sort_array(F.concat(*[base_spans(t, k) for k in LEAST]))
-    more = F.concat(*[entropy_spans(t, c, allow) for c in CLASSES])
-    found = rows.withColumn("base", base).withColumn("_more", more)
-    return found.select("doc_id", *[F.col(f"_keep_{c}").alias(c) for c in keep], "base", F.sort_array(F.concat("base", "_more")).alias("all"))
+    rows = docs.select(named(id_col).alias("doc_id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
+    return _with_spans(rows, allow).select("doc_id", "base", "all")
 
 
 def digest(scanned: DataFrame) -> DataFrame:
@@ -182,10 +194,21 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) > 0, let(merged, cut)).otherwise(text)
 
 
-def without_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span that ``scan`` finds replaced by ``mark`` and the length column set anew where text changed."""
-    found = scan(docs, id_col=id_col, text_col=text_col, keep=tuple(docs.columns)).drop("doc_id") if id_col != "doc_id" else scan(docs, id_col=id_col, text_col=text_col, keep=tuple(c for c in docs.columns if c != id_col))
+def without_secrets(docs: DataFrame, *, text_col: str = "text", length_col: str | None = "n_chars", mark: str = "[SECRET]", allow: tuple[str, ...] = ALLOW) -> DataFrame:
+    """``docs`` with every span that ``scan`` finds replaced by ``mark``, and the length column, if there is one, set anew where the text changed.
+
+    Null and empty texts stay as they are; a text of any length is one row, and every
+    row is one for itself, repeated ones too. An empty table gives an empty result. All
+    other columns, of any name, are kept in one struct and come out unchanged.
+    """
+    text = named(text_col)
+    rows = docs.select(whole_row(docs).alias("row"), F.coalesce(text, F.lit("")).alias("text"))
+    found = _with_spans(rows, allow).select("row", "text", "all")
+    old = F.col("row").getField(text_col)
     changed = F.size("all") > 0
-    new = found.withColumn("_new", F.when(changed, redacted(F.col(text_col), F.col("all"), mark)).otherwise(F.col(text_col)))
-    columns = {text_col: F.col("_new")} | ({length_col: F.when(changed, F.length("_new").cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))} if length_col else {})
-    return new.select(*[columns.get(c, F.col(c)).alias(c) for c in docs.columns])
+    done = found.select("row", changed.alias("changed"), F.when(changed, redacted(F.col("text"), F.col("all"), mark)).otherwise(old).alias("text"))
+    new = {text_col: F.col("text")}
+    if length_col in docs.columns:
+        kind = docs.select(named(length_col)).schema[0].dataType
+        new[length_col] = F.when(F.col("changed"), F.length("text").cast(kind)).otherwise(F.col("row").getField(length_col))
+    return unpacked(done, docs, "row", new)
