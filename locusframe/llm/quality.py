@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from locusframe.llm.common import save, ship
+from locusframe.llm.common import named, save, ship
 from locusframe.llm.shingles import chunks, ngram_hashes, text_buffer, word_hashes
 
 #: Shrinkage of a class covariance towards the pooled one, and of the result towards a multiple of the identity.
@@ -163,7 +164,7 @@ def held_out(doc_id) -> F.Column:
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, x): the statistics of every whole text, as a saved table."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text"))
     return save(rows.mapInArrow(_measure, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, x array<double>"), "quality-statistics")
 
 
@@ -198,18 +199,46 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
-def _filtered(model: Discriminant, text_col: str, threshold: float):
+def _with_statistics(text_col: str):
+    """Whole rows with their texts' statistics as one more column, the last."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(text_col))
             for first, last in chunks(offsets):
-                good = model.score(statistics(data, offsets[first : last + 1])) >= threshold
-                yield batch.slice(first, last - first).filter(pa.array(good))
+                rows = statistics(data, offsets[first : last + 1])
+                x = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel(), pa.float64()))
+                part = batch.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([*part.columns, x], [*part.schema.names, "x"])
+
+    return run
+
+
+def _filtered(model: Discriminant, threshold: float):
+    """Of rows with statistics in the last column, those that score ``threshold`` or more, without that column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                last = batch.num_columns - 1
+                good = pa.array(model.score(_matrix(batch.column(last))) >= threshold)
+                yield pa.RecordBatch.from_arrays(batch.columns[:last], batch.schema.names[:last]).filter(good)
 
     return run
 
 
 def accepted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that ``classify`` predicts 1 for, with all columns; texts are scored where they lie and not moved."""
-    model = fit(measured(docs, id_col, text_col), labels, label_col=label_col)
-    return docs.mapInArrow(_filtered(model, text_col, threshold), docs.schema)
+    """The rows of ``docs`` that ``classify`` predicts 1 for, with all columns as they are.
+
+    Statistics are worked out once and written beside their rows; no row is shuffled
+    but the statistics of labelled ones. Null, empty and very long texts, null and
+    repeated ids, repeated rows, missing labels and an empty table are as in
+    ``classify``. Columns may have any name.
+    """
+    ship(docs.sparkSession)
+    # Columns go by their places meanwhile, so that their names clash with nothing.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = save(plain.mapInArrow(_with_statistics(at[text_col]), StructType([*plain.schema.fields, StructField("x", ArrayType(DoubleType()))])), "quality-rows")
+    model = fit(rows.select(F.col(at[id_col]).alias("doc_id"), "x"), labels, label_col=label_col)
+    return rows.mapInArrow(_filtered(model, threshold), plain.schema).toDF(*docs.columns)

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +15,12 @@ from helpers import DOCS, corpus, documents, odd_rows, prose, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from test_mix_shard_pack import plain_targets
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from locusframe.llm import quality, secret_scan
+from locusframe.llm.common import folders_made
 from locusframe.llm.shingles import text_buffer
 
 DATA = "/root/testdata/sf0.001"
@@ -227,6 +230,99 @@ def test_pipeline_stages_take_odd_rows_and_empty_tables(spark):
         assert (now.count() > 0) == (docs.count() > 0)
 
 
+CLASHING = ["row", "_id", "_words", "_copies", "_source", "_size", "_n", "_copy", "all", "base", "_new", "more", "changed", "x", "x_", "t", "m", "whole", "copies", "times", "h", "p", "digest", "id", "a.b", "Digest_"]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns that carry names used inside come out as they went in, and a table without n_chars passes."""
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 40), f"s{i % 3}", *[f"{c}-{i}" for c in CLASHING]) for i in range(60)]
+    rows += [(r[0] + 1000, *r[1:]) for r in rows[:6]] + [(100, prose(rng, 30) + " token = 24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "s1", *CLASHING)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *CLASHING])
+    labels = labelled(spark, 60)[1]
+    given = {(r[0], *r[2:]) for r in rows}
+    for stage in (lambda d: quality.accepted(d, labels), *[lambda d, s=s: s(spark, d, None) for n, s in corpus_pipeline.STAGES[1:4]]):
+        out = stage(docs)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        found = out.collect()
+        assert found and {(r[0], *r[2:]) for r in found} <= given
+
+
+def test_mixed_picks_the_same_of_equal_rows(spark):
+    """Of rows equal in id, source and text the same ones are repeated, however they are dealt; null ids are told apart by their texts."""
+    rng = random.Random(7)
+    rows = [(None, prose(rng, 5), "en", "a", i) for i in range(40)] + [(1, "a b c", "en", "a", i) for i in range(40)] + [(2 + i, prose(rng, 5), "en", "b", i) for i in range(30)]
+    df = spark.createDataFrame(rows, DOCS)
+    found = [sorted(map(repr, map(tuple, corpus_pipeline.mixed(d).collect()))) for d in (df, df.repartition(6).orderBy("n_chars"))]
+    assert found[0] == found[1] and len(found[0]) != len(rows)
+
+
+def plain_classes(rows):
+    """doc_id -> least id of what hangs together over pairs of texts at 0.8 or more."""
+    sets = {}
+    for d, t, *_ in rows:
+        w = words(t)
+        sets[d] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+    ids, head = sorted(sets), {d: d for d in sets}
+    for x in ids:
+        for y in ids:
+            if x < y and head[x] != head[y] and (sets[x] == sets[y] or len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])):
+                low, high = sorted((head[x], head[y]))
+                head = {d: low if h == high else h for d, h in head.items()}
+    return head
+
+
+def test_run_against_plain_stages(spark, tmp_path):
+    """run() over tables on disk against plain versions of the five stages, each on what the one before kept."""
+    docs, labels, _ = labelled(spark, 150)
+    rng = random.Random(15)
+    extra = [(1000 + i, prose(rng, 90), "en", f"s{i % 3}", 0) for i in range(40)]
+    extra += [(2000 + i, t.replace(t.split()[40], "other", 1), la, s, n) for i, (_, t, la, s, n) in enumerate(extra[:12])] + [(2100 + i, *r[1:]) for i, r in enumerate(extra[:5])]
+    extra += [(3000 + i, prose(rng, 60) + f" token = {i}4be64439e3e49cf46b2d7c90f3602a3d0b907ff", "en", "s1", 0) for i in range(4)]
+    docs.unionByName(spark.createDataFrame(extra, DOCS)).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()]
+    known = [(zlib.crc32(str(r.doc_id).encode()) % 5 != 0, r.doc_id, r.quality) for r in labels.collect()]
+    x = {r[0]: quality.statistics(*text_buffer(pa.array([r[1]])))[0] for r in rows}
+    own = {c: np.array([x[d] for train, d, q in known if train and q == c]) for c in (0, 1)}
+    model = quality.Discriminant.fit({c: np.concatenate(([len(v)], v.sum(0), (v.T @ v).ravel())) for c, v in own.items()}, quality.TO_POOLED, quality.TO_SPHERE)
+    first = [r for r in rows if model.score(x[r[0]][None])[0] >= quality.THRESHOLD]
+    head = plain_classes(first)
+    second = [r for r in first if head[r[0]] == r[0]]
+    third = []
+    for d, t, la, s, n in second:
+        new, end = "", 0
+        for a, b in sorted((a, b) for a, _, b in plain_base(t) + plain_entropy(t)):
+            new, end = (new + t[end:a] + "[SECRET]", b) if a >= end else (new, max(end, b))
+        third.append((d, new + t[end:], la, s, n))
+    size = {d: len(words(t)) for d, t, *_ in third}
+    source = {d: s for d, _, _, s, _ in third}
+    targets = plain_targets({s: sum(size[d] for d in size if source[d] == s) for s in set(source.values())})
+    taken, copies = Counter(), Counter()
+    for r in out:
+        assert r.source == source[r.doc_id]
+        taken[r.source] += r.words
+        copies[r.doc_id] += r.words
+    assert all(n in (size[d], 2 * size[d]) for d, n in copies.items())
+    assert all(abs(taken[s] - t) <= max(size.values()) for s, t in targets.items())
+    bins = Counter()
+    for r in out:
+        bins[r.bin] += r.words
+    assert max(bins.values()) <= 8192 and all(bins[r.bin] == r.bin_words for r in out)
+    assert max(Counter((r.bin, r.doc_id) for r in out).values()) == 1
+
+
+def test_run_leaves_its_last_table_only(spark, tmp_path):
+    docs, labels, _ = labelled(spark, 60)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    with folders_made() as made:
+        out = corpus_pipeline.run(spark, str(tmp_path))
+    assert [f for f in made if Path(f.removeprefix("file://")).exists()] == [out._saved_at] and out.count() > 0
+
+
 def test_queries_are_registered():
     queries = entry.queries()
     for n in range(1, 11):
