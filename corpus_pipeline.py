@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locusframe.llm.common import save, table
+from locusframe.llm.common import delete_folders, folders_made, save, table
 from locusframe.llm.jaccard import one_of_each
 from locusframe.llm.mixing import mixed
 from locusframe.llm.packing import pack
@@ -45,12 +45,16 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: SQL can't express the trained model or the seeded draws; tests hold run() against a plain version of each stage.
+#: SQL can't express the trained model or the seeded draws; a test holds run() against plain versions of the stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Each stage's result is written, and what it and its predecessor left goes then."""
+    docs, left = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with folders_made() as made:
+            docs = save(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        delete_folders(spark, [f for f in left + made if f != docs._saved_at])
+        left = [docs._saved_at]
     return docs
