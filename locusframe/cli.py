@@ -112,8 +112,8 @@ def run_lint(spark: SparkSession, args: argparse.Namespace) -> int:
         found = lint.diagnosed_bed(lines, *layout)
         kept = lint.prune_bed(lines, *layout)
     else:
-        found = lint.diagnosed_gxf(lines, kind.lower()).records
-        kept = lint.prune_gxf(lines, kind.lower())
+        checked = lint.diagnosed_gxf(lines, kind.lower())
+        found, kept = checked.records, checked.kept
     label = "PRUNE" if args.prune else "WARN" if args.warn else "LINT"
     for row in lint.diagnostics(found).orderBy(F.col("line").asc_nulls_last()).toLocalIterator():
         print(f"{label}: {row['text']}", file=sys.stderr)

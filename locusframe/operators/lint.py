@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from locusframe.schema import Dialect, FormatError, GroupOptions
 from locusframe.sources import gxf
 from locusframe.sources.bed import canonical, parse_bed
-from locusframe.sources.lines import skipped_gxf
 
 
 def _say(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
+# The rules' messages, in the order in which they are reported.
 def _bounds_rules() -> list[Column]:
     start, end, ts, te = (F.col(c) for c in ("start", "end", "thick_start", "thick_end"))
     out = lambda x: (x < start) | (x > end)
@@ -76,25 +76,48 @@ def diagnosed_bed(lines: DataFrame, width: int, additional_fields: int = 0) -> D
 
 @dataclass(frozen=True)
 class GxfLint:
-    """``preserved``: comments and blank lines; ``data``: the others with their key, null where they belong to no transcript;
-    ``records``: a row for each transcript or stray bad line, with ``diagnostics``."""
+    """``groups``: a row for each transcript, stray bad line and preserved line (comment or blank), with
+    ``diagnostics`` and its ``lines``, (line, text) in order."""
 
-    preserved: DataFrame
-    data: DataFrame
-    records: DataFrame
+    groups: DataFrame
 
-    def transcript_lines(self) -> DataFrame:
-        return self.data.filter("key IS NOT NULL AND _at >= 0").select("_file", "_line", "_raw", "key")
+    @property
+    def records(self) -> DataFrame:
+        """A row for each transcript or stray bad line, with ``diagnostics``; ``key`` is null for the latter."""
+        return self.groups.filter("NOT _skipped").select("_file", "_line", "key", "diagnostics")
+
+    @property
+    def valid(self) -> DataFrame:
+        return self.groups.filter("key IS NOT NULL AND size(diagnostics) = 0")
+
+    @property
+    def kept(self) -> DataFrame:
+        """(_file, _line, value) of preserved lines and of valid transcripts' lines."""
+        stays = self.groups.filter("_skipped OR (key IS NOT NULL AND size(diagnostics) = 0)")
+        return stays.select("_file", F.explode("lines").alias("x")).select("_file", "x.*")
 
 
 def diagnosed_gxf(lines: DataFrame, kind: str | Dialect, options: GroupOptions = GroupOptions()) -> GxfLint:
-    """A line that cannot be parsed is an invalid record of its own; one that does not fit its transcript makes that one invalid, which is then held against no rule."""
-    rows = gxf.keyed(gxf.parse_gxf(lines, kind), kind, options)
-    built = gxf.group(gxf.checked(rows))
-    said = F.when(F.col("conflict_line").isNotNull(), F.array(_say("grouped lines span several chromosomes or strands at line ", F.col("conflict_line")))).otherwise(messages())
-    records = built.select("_file", "_line", "key", said.alias("diagnostics"))
-    stray = rows.filter("_error IS NOT NULL AND _at >= 0").select("_file", "_line", F.lit(None).cast("string").alias("key"), F.array("_error").alias("diagnostics"))
-    return GxfLint(lines.filter(skipped_gxf(F.col("_raw"))).select("_file", "_line", "_raw"), rows, records.unionByName(stray))
+    """A line that cannot be parsed is an invalid record of its own; one that does not fit its transcript makes that one invalid, which is then held against no rule.
+
+    Lines are read and parsed once and shuffled once, by transcript; preserved and
+    stray lines are groups of one line, so none gathers with others. Lines that
+    belong to no transcript and are not bad go. A transcript's lines are held in one
+    row where they are asked for.
+    """
+    by = ("_file", "key", "_own")
+    rows = gxf.keyed(gxf.parse_gxf(lines, kind, keep_skipped=True), kind, options)
+    rows = rows.withColumn("key", F.when(~F.col("_skipped"), F.col("key"))).filter("_at >= 0 AND (_skipped OR key IS NOT NULL OR _error IS NOT NULL)")
+    rows = rows.withColumn("_own", F.when(F.col("key").isNull(), F.col("_line")))
+    text = F.struct("_line", F.col("_raw").alias("value"))
+    built = gxf.group(gxf.checked(rows, by), by, _skipped=F.bool_or("_skipped"), _stray=F.min("_error"), lines=F.array_sort(F.collect_list(text)))
+    said = (
+        F.when(F.col("_skipped"), F.array().cast("array<string>"))
+        .when(F.col("key").isNull(), F.array("_stray"))
+        .when(F.col("conflict_line").isNotNull(), F.array(_say("grouped lines span several chromosomes or strands at line ", F.col("conflict_line"))))
+        .otherwise(messages())
+    )
+    return GxfLint(built.select("_file", "_line", "key", "_skipped", said.alias("diagnostics"), "lines"))
 
 
 def summary(diagnosed: DataFrame, name: str) -> DataFrame:
@@ -105,11 +128,11 @@ def summary(diagnosed: DataFrame, name: str) -> DataFrame:
 
 def whole_file_summary(diagnosed: DataFrame, name: str) -> DataFrame:
     """As ``summary``, but one line that cannot be read, or does not fit, makes the file one invalid record."""
-    s = summary(diagnosed, name)
-    fatal = diagnosed.filter(F.col("key").isNull() | F.exists("diagnostics", lambda m: m.startswith("grouped lines"))).agg(F.count("*").alias("_n"))
+    bad = F.size("diagnostics") > 0
+    fatal = F.count_if(F.col("key").isNull() | F.exists("diagnostics", lambda m: m.startswith("grouped lines")))
+    counts = diagnosed.agg(F.count("*").alias("records"), F.count_if(~bad).alias("valid"), F.count_if(bad).alias("invalid"), fatal.alias("_n"))
     pick = lambda c, one: F.when(F.col("_n") > 0, F.lit(one).cast("bigint")).otherwise(F.col(c)).alias(c)
-    # Both sides are a single row.
-    return s.join(F.broadcast(fatal)).select("format", pick("records", 1), pick("valid", 0), pick("invalid", 1))
+    return counts.select(F.lit(name).alias("format"), pick("records", 1), pick("valid", 0), pick("invalid", 1))
 
 
 def diagnostics(diagnosed: DataFrame) -> DataFrame:
@@ -125,10 +148,7 @@ def prune_bed(lines: DataFrame, width: int, additional_fields: int = 0) -> DataF
 
 def prune_gxf(lines: DataFrame, kind: str | Dialect, options: GroupOptions = GroupOptions()) -> DataFrame:
     """(_file, _line, value): comments, blank lines and the lines of valid transcripts, to be put in order of _line."""
-    found = diagnosed_gxf(lines, kind, options)
-    valid = found.records.filter("key IS NOT NULL AND size(diagnostics) = 0").select("_file", "key")
-    own = found.transcript_lines().join(valid, ["_file", "key"], "left_semi").select("_file", "_line", "_raw")
-    return found.preserved.unionByName(own).select("_file", "_line", F.col("_raw").alias("value"))
+    return diagnosed_gxf(lines, kind, options).kept
 
 
 def reject_additional_fields(additional_fields: int | None, name: str) -> None:

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +15,7 @@ from locusframe.functions import intervals as iv
 from locusframe.functions.arrays import let
 from locusframe.functions.extras import allowed, entries_by_key, entries_by_number, first_value, get_extra
 from locusframe.schema import FormatError, WriterOptions, check_width, dialect
+from locusframe.shipping import ship
 
 CODECS = {"gz": "gzip", "bz2": "bzip2"}
 
@@ -202,13 +209,63 @@ def to_gxf(records: DataFrame, kind: str, options: WriterOptions = WriterOptions
     return records.select(*keep, F.posexplode(lines).alias("line_in_record", "value"))
 
 
+def _zstd_writer(folder: str):
+    """Writes a task's lines as a compressed file of its attempt and tells its name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        task = TaskContext.get()
+        store, root = pafs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        part, name = task.partitionId(), f"part-{task.partitionId():05d}.{task.taskAttemptId()}"
+        with store.open_output_stream(f"{root}/{name}", compression=None) as raw, zstandard.ZstdCompressor().stream_writer(raw, closefd=False) as out:
+            for batch in batches:
+                for value in batch.column("value").to_pylist():
+                    out.write((value or "").encode() + b"\n")
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": pa.array([name])})
+
+    return run
+
+
 def write_lines(lines: DataFrame, path: str, single: bool = False) -> None:
-    """Writes ``value`` as text; a ``.gz`` or ``.bz2`` path compresses. ``single`` gives one part file.
+    """Writes ``value`` as text under ``path``, which must not be there; a ``.gz``, ``.bz2`` or ``.zst`` path compresses.
 
-    Spark's text sink has no zstd codec, so ``.zst`` is refused rather than written plain.
+    Without ``single`` the path is a folder of part files. With it the path is one file,
+    written by one task. Spark's text sink has no zstd codec, so such parts are written
+    by Python tasks; of a task that ran more than once, one file takes its place in the end.
     """
-    suffix = path.rsplit(".", 1)[-1] if "." in path else ""
-    if suffix in ("zst", "zstd"):
-        raise FormatError("the text sink cannot write zstd; use .gz or .bz2")
+    spark, suffix = lines.sparkSession, path.rsplit(".", 1)[-1] if "." in path else ""
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    target = paths(path)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    target = target.makeQualified(store.getUri(), store.getWorkingDirectory())
+    if store.exists(target):
+        raise FormatError(f"{path} is already there")
     out = lines.select("value")
-    (out.coalesce(1) if single else out).write.option("compression", CODECS.get(suffix, "none")).text(path)
+    out = out.coalesce(1) if single else out
+    if suffix not in ("zst", "zstd") and not single:
+        out.write.option("compression", CODECS.get(suffix, "none")).text(path)
+        return
+    at = paths(target.getParent(), f"_{target.getName()}-{uuid.uuid4().hex}")
+    try:
+        if suffix in ("zst", "zstd"):
+            ship(spark)
+            uri = at.toString()
+            uri = f"file://{uri[5:]}" if uri.startswith("file:/") and not uri.startswith("file://") else uri
+            # A row for each task comes to the driver.
+            done = {r["part"]: r["name"] for r in out.mapInArrow(_zstd_writer(uri), "part int, name string").collect()}
+            names = [done[p] for p in sorted(done)]
+        else:
+            out.write.option("compression", CODECS.get(suffix, "none")).text(at.toString())
+            names = [f.getPath().getName() for f in store.listStatus(at) if f.getPath().getName().startswith("part-")]
+        if not single:
+            store.mkdirs(target)
+        elif not names:
+            store.create(target).close()
+        for name in names:
+            store.rename(paths(at, name), target if single else paths(target, f"{name.split('.')[0]}.{suffix}"))
+        if not single:
+            store.create(paths(target, "_SUCCESS")).close()
+    finally:
+        store.delete(at, True)

@@ -83,15 +83,21 @@ def with_ids(df: DataFrame) -> DataFrame:
     return df.withColumn("extras", ids)
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(_file, _line, _raw): GTF lines, a transcript line before its exons; returned exons have a CDS line too. Tags are return flags."""
-    e = exon_rows(spark, sf_dir)
+def lines(spark: SparkSession, sf_dir: str, more: tuple[tuple[int, int, str], ...] = ()) -> DataFrame:
+    """(_file, _line, _raw): GTF lines, a transcript line before its exons; returned exons have a CDS line too. Tags are return flags.
+
+    ``more`` adds a line for every so-manieth order: (every, place, text). All lines of an
+    order come from its exon rows, over the partitioning that numbers these.
+    """
+    order = W.partitionBy("k")
+    e = exon_rows(spark, sf_dir).withColumn("first", F.min("s").over(order)).withColumn("last", F.max("en").over(order))
     attributes = F.concat(F.lit('gene_id "g'), F.col("cust"), F.lit('"; transcript_id "'), F.col("name"), F.lit('"; '))
     tagged = F.concat(attributes, F.lit('tag "'), F.col("f"), F.lit('"; tag "x";'))
-    row = lambda feature, no, s, en, attrs: F.struct((F.col("k") * 1000 + no).alias("line"), F.concat_ws("\t", "chrom", F.lit("src"), F.lit(feature), (s + 1).cast("string"), en.cast("string"), F.lit("."), "strand", F.lit("."), attrs).alias("value"))
-    own = [row("exon", F.col("rn") * 2, F.col("s"), F.col("en"), tagged), F.when(F.col("f") != "N", row("CDS", F.col("rn") * 2 + 1, F.col("s"), F.col("en"), tagged))]
-    each = e.select(F.explode(F.filter(F.array(*own), lambda x: x.isNotNull())).alias("x")).select("x.*")
-    spans = e.groupBy("k", "name", "chrom", "strand", "cust").agg(F.min("s").alias("s"), F.max("en").alias("en"))
-    head = spans.select(row("transcript", F.lit(0), F.col("s"), F.col("en"), F.concat(attributes, F.lit('gene_name "N'), F.col("cust"), F.lit('";'))).alias("x")).select("x.*")
-    both = head.unionByName(each)
-    return both.select(F.lit("t").alias("_file"), F.col("line").alias("_line"), F.col("value").alias("_raw"))
+    named = F.concat(attributes, F.lit('gene_name "N'), F.col("cust"), F.lit('";'))
+    line = lambda no, value: F.struct((F.col("k") * 1000 + no).alias("line"), value.alias("value"))
+    row = lambda feature, no, s, en, attrs: line(no, F.concat_ws("\t", "chrom", F.lit("src"), F.lit(feature), (s + 1).cast("string"), en.cast("string"), F.lit("."), "strand", F.lit("."), attrs))
+    head = F.col("rn") == 1
+    own = [F.when(head, row("transcript", F.lit(0), F.col("first"), F.col("last"), named)), row("exon", F.col("rn") * 2, F.col("s"), F.col("en"), tagged), F.when(F.col("f") != "N", row("CDS", F.col("rn") * 2 + 1, F.col("s"), F.col("en"), tagged))]
+    own += [F.when(head & (F.col("k") % every == 0), line(F.lit(place), F.lit(text))) for every, place, text in more]
+    each = e.select(F.explode(F.filter(F.array(*own), lambda x: x.isNotNull())).alias("x"))
+    return each.select(F.lit("t").alias("_file"), F.col("x.line").alias("_line"), F.col("x.value").alias("_raw"))

@@ -97,12 +97,10 @@ def bed_diagnostics(spark, sf_dir):
 
 def _gtf_lines(spark, sf_dir) -> DataFrame:
     """GTF lines: in every 19th order the first exon reaches out of the transcript; every 23rd has a line that cannot be read, every seventh a comment."""
-    lines = bridge.lines(spark, sf_dir)
+    lines = bridge.lines(spark, sf_dir, ((7, 999, "# note"), (23, 998, "chr1\tsrc\texon\tten")))
     k, no = F.floor(F.col("_line") / 1000), F.col("_line") % 1000
     far = F.regexp_replace("_raw", "\texon\t([0-9]+)\t[0-9]+\t", "\texon\t$1\t999999999999\t")
-    raw = F.when((k % 19 == 0) & (no == 2), far).otherwise(F.col("_raw"))
-    more = lambda at, text, every: lines.filter((no == 0) & (k % every == 0)).select("_file", (F.col("_line") + at).alias("_line"), F.lit(text).alias("_raw"))
-    return lines.withColumn("_raw", raw).unionByName(more(999, "# note", 7)).unionByName(more(998, "chr1\tsrc\texon\tten", 23))
+    return lines.withColumn("_raw", F.when((k % 19 == 0) & (no == 2), far).otherwise(F.col("_raw")))
 
 
 @query("l04_prune_gtf", f"{SQL} SELECT k * 1000 AS line FROM t WHERE k % 19 <> 0 UNION ALL SELECT k * 1000 + rn * 2 FROM e WHERE k % 19 <> 0 UNION ALL SELECT k * 1000 + rn * 2 + 1 FROM e WHERE f <> 'N' AND k % 19 <> 0 UNION ALL SELECT k * 1000 + 999 FROM t WHERE k % 7 = 0")
@@ -122,6 +120,4 @@ def whole_file(spark, sf_dir):
 
 @query("j03_prune_semi_join", f"{SQL} SELECT name AS key, count(*) AS lines FROM (SELECT name FROM t WHERE k % 19 <> 0 UNION ALL SELECT name FROM e WHERE k % 19 <> 0 UNION ALL SELECT name FROM e WHERE f <> 'N' AND k % 19 <> 0) GROUP BY name")
 def prune_semi_join(spark, sf_dir):
-    found = lint.diagnosed_gxf(_gtf_lines(spark, sf_dir), "gtf")
-    valid = found.records.filter("size(diagnostics) = 0").select("_file", "key")
-    return found.transcript_lines().join(valid, ["_file", "key"], "left_semi").groupBy("key").agg(F.count("*").alias("lines"))
+    return lint.diagnosed_gxf(_gtf_lines(spark, sf_dir), "gtf").valid.select("key", F.size("lines").cast("bigint").alias("lines"))

@@ -17,10 +17,14 @@ COLUMNS = ("chromosome", "source", "feature", "start", "end", "score", "strand",
 NAMES = ("transcript_name", "Name", "gene_name", "transcript_id")
 
 
-def parse_gxf(lines: DataFrame, kind: str | Dialect) -> DataFrame:
-    """A typed row for each data line: chrom, feature, start (0-based), end, strand, tokens, _error; _raw and the line stay."""
+def parse_gxf(lines: DataFrame, kind: str | Dialect, keep_skipped: bool = False) -> DataFrame:
+    """A typed row for each data line: chrom, feature, start (0-based), end, strand, tokens, _error; _raw and the line stay.
+
+    ``keep_skipped`` keeps blank lines and comments too, marked by ``_skipped``; their other columns mean nothing.
+    """
     d = kind if isinstance(kind, Dialect) else dialect(kind)
-    split = lines.filter(~skipped_gxf(F.col("_raw"))).withColumn("_f", F.split("_raw", "\t", -1))
+    skipped = skipped_gxf(F.col("_raw"))
+    split = (lines if keep_skipped else lines.filter(~skipped)).withColumn("_f", F.split("_raw", "\t", -1))
     at = lambda i: F.get(F.col("_f"), F.lit(i))
     names = F.array(*[F.lit(c) for c in COLUMNS])
     short = F.when(F.size("_f") < 9, F.concat(F.lit("invalid "), F.get(names, F.size("_f")), F.lit(": missing field")))
@@ -29,7 +33,7 @@ def parse_gxf(lines: DataFrame, kind: str | Dialect) -> DataFrame:
     pairs = split.withColumn("tokens", F.when(F.size("_f") >= 9, tokens(at(8), d.separator)))
     bare = F.when(F.size("tokens") == 0, F.lit("invalid attributes: empty"))
     error = f.first_error(not_text(F.col("_raw")), short, start.error, end.error, order, strand.error, bare)
-    return pairs.select("_file", "_line", "_raw", at(0).alias("chrom"), at(2).alias("feature"), F.greatest(start.value - 1, F.lit(0)).alias("start"), end.value.alias("end"), strand.value.alias("strand"), "tokens", error.alias("_error"))
+    return pairs.select("_file", "_line", "_raw", at(0).alias("chrom"), at(2).alias("feature"), F.greatest(start.value - 1, F.lit(0)).alias("start"), end.value.alias("end"), strand.value.alias("strand"), "tokens", error.alias("_error"), *([skipped.alias("_skipped")] if keep_skipped else []))
 
 
 def first_token(key: str) -> Column:
@@ -51,18 +55,19 @@ def keyed(parsed: DataFrame, kind: str | Dialect, options: GroupOptions = GroupO
     return parsed.select("*", parent.alias("is_parent"), kept.alias("kept"), key.alias("key"), F.monotonically_increasing_id().alias("_at"))
 
 
-def checked(rows: DataFrame) -> DataFrame:
-    """``rows`` with keys only, with ``fits``: whether chromosome and strand are those of the transcript's first line."""
-    first = F.first(F.struct("chrom", "strand")).over(W.partitionBy("_file", "key").orderBy("_line"))
-    return rows.filter("key IS NOT NULL AND _at >= 0").withColumn("_first", first).withColumn("fits", (F.col("chrom") == F.col("_first.chrom")) & (F.col("strand") == F.col("_first.strand"))).drop("_first")
+def checked(rows: DataFrame, by: tuple[str, ...] = ("_file", "key")) -> DataFrame:
+    """``rows`` with ``fits``: whether chromosome and strand are those of the transcript's first line. Rows without a key go, unless ``by`` names more."""
+    first = F.first(F.struct("chrom", "strand")).over(W.partitionBy(*by).orderBy("_line"))
+    kept = rows.filter("key IS NOT NULL AND _at >= 0") if by == ("_file", "key") else rows
+    return kept.withColumn("_first", first).withColumn("fits", (F.col("chrom") == F.col("_first.chrom")) & (F.col("strand") == F.col("_first.strand"))).drop("_first")
 
 
 def conflict(fits: Column) -> Column:
     return F.when(~fits, F.lit("invalid chrom or strand: grouped lines differ"))
 
 
-def group(rows: DataFrame) -> DataFrame:
-    """Canonical records of ``checked`` rows, one for each (file, key), with the first line and the first line that does not fit.
+def group(rows: DataFrame, by: tuple[str, ...] = ("_file", "key"), **more: Column) -> DataFrame:
+    """Canonical records of ``checked`` rows, one for each (file, key), with the first line and the first line that does not fit, and the aggregates in ``more``.
 
     One shuffle, on the key: the window of ``checked`` and the aggregate share it.
     Lines that do not fit give nothing but the conflict. The span is that of parent
@@ -76,7 +81,7 @@ def group(rows: DataFrame) -> DataFrame:
     codon = feature.isin("start_codon", "stop_codon")
     name = F.coalesce(*[first_token(n) for n in NAMES], F.col("key"))
     cds = F.col("fits") & (feature == "cds")
-    merged = rows.groupBy("_file", "key").agg(
+    merged = rows.groupBy(*by).agg(
         F.min_by("chrom", "_line").alias("chrom"),
         F.min_by("strand", "_line").alias("strand"),
         F.min_by(name, only(every, line)).alias("name"),
@@ -92,6 +97,7 @@ def group(rows: DataFrame) -> DataFrame:
         F.min(only(codon & ~F.col("is_parent"), start)).alias("ks"),
         F.max(only(codon & ~F.col("is_parent"), end)).alias("ke"),
         F.array_sort(F.collect_list(only(every, F.struct(line.alias("l"), F.col("tokens").alias("t"))))).alias("said"),
+        *[c.alias(k) for k, c in more.items()],
     )
     span_s, span_e = F.coalesce("ps", "os"), F.coalesce("pe", "oe")
     whole = F.size("blocks") == 0
@@ -103,9 +109,9 @@ def group(rows: DataFrame) -> DataFrame:
         F.when(whole, 1).otherwise(F.size("blocks")).alias("block_count"),
         F.when(whole, F.array(span_s)).otherwise(F.transform("blocks", lambda b: b["s"])).alias("block_starts"),
         F.when(whole, F.array(span_e)).otherwise(F.transform("blocks", lambda b: b["e"])).alias("block_ends"),
-        extras.alias("extras"),
+        extras.alias("extras"), *more,
     )
-    return built.select(*RECORD_COLUMNS, "key", "_file", "_line", "conflict_line")
+    return built.select(*RECORD_COLUMNS, "key", "_file", "_line", "conflict_line", *more)
 
 
 def transcripts(lines: DataFrame, kind: str | Dialect, options: GroupOptions = GroupOptions(), strict: bool = False) -> DataFrame:

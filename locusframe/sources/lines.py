@@ -8,6 +8,7 @@ import io
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,33 +43,46 @@ def read_lines(spark: SparkSession, path: str | list[str], numbered: bool = True
     return placed.join(bases, ["_file", "_block"]).select("_file", (F.col("_id") - F.col("_first") + F.col("_base") + 1).alias("_line"), "_raw")
 
 
-def _unpacked(codec: str, content: bytes):
+def _opened(path: str):
+    """A stream of a file that Spark listed; its store is the one that the path names."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return pafs.LocalFileSystem().open_input_stream("/" + rest.lstrip("/"), compression=None)
+    authority, _, name = rest.removeprefix("//").partition("/")
+    store, root = pafs.FileSystem.from_uri(f"{scheme}://{authority}/")
+    return store.open_input_stream(f"{root.rstrip('/')}/{name}", compression=None)
+
+
+def _unpacked(codec: str, packed):
     if codec == "zstd":
         import zstandard
 
-        return zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content), read_across_frames=True)
-    return {"gzip": gzip.open, "bzip2": bz2.open}[codec](io.BytesIO(content))
+        return io.BufferedReader(zstandard.ZstdDecompressor().stream_reader(packed, read_across_frames=True))
+    return {"gzip": gzip.open, "bzip2": bz2.open}[codec](packed)
 
 
 def read_encoded_lines(spark: SparkSession, path: str | list[str], codec: str) -> DataFrame:
     """(_file, _line, _raw) of files whose suffix does not tell their codec, as one names it: gzip, bzip2 or zstd.
 
-    Such a file is not cut into splits, so one task unpacks it as a stream and numbers its lines.
+    Such a file is not cut into splits: Spark lists it, and one task opens it, unpacks
+    it as a stream and numbers its lines, a megabyte at a time, whatever its size.
     """
     if codec not in ("gzip", "bzip2", "zstd"):
         raise FormatError(f"unknown codec {codec!r}: expected gzip, bzip2 or zstd")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                text, at = io.BufferedReader(_unpacked(codec, content)) if codec == "zstd" else _unpacked(codec, content), 0
-                while rows := text.readlines(1 << 20):
-                    raw = [r.removesuffix(b"\n").removesuffix(b"\r").decode("utf-8", "replace") for r in rows]
-                    yield pa.RecordBatch.from_pydict({"_file": pa.array([file] * len(raw)), "_line": pa.array(range(at + 1, at + len(raw) + 1), pa.int64()), "_raw": pa.array(raw)})
-                    at += len(raw)
+            for file in batch.column("path").to_pylist():
+                at = 0
+                with _opened(file) as packed, _unpacked(codec, packed) as text:
+                    while rows := text.readlines(1 << 20):
+                        raw = [r.removesuffix(b"\n").removesuffix(b"\r").decode("utf-8", "replace") for r in rows]
+                        yield pa.RecordBatch.from_pydict({"_file": pa.array([file] * len(raw)), "_line": pa.array(range(at + 1, at + len(raw) + 1), pa.int64()), "_raw": pa.array(raw)})
+                        at += len(raw)
 
     ship(spark)
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    # The files' contents are not read here: only the paths are asked for.
+    files = spark.read.format("binaryFile").load(path).select("path")
     return files.mapInArrow(run, "_file string, _line bigint, _raw string")
 
 

@@ -260,12 +260,52 @@ def test_empty_inputs(spark, tmp_path):
 
 
 def test_sinks(spark, path, tmp_path):
+    """A path is one file, or a folder of parts; suffixes compress, and what is there is not written over."""
     df = writers.to_bed(bed.read_bed(spark, path("bed12.bed"), 12), 12, WriterOptions())
-    for name in ("x.bed", "x.bed.gz", "x.bed.bz2"):
+    text = df.first()["value"] + "\n"
+    for name, opened in (("x.bed", open), ("x.bed.gz", gzip.open), ("x.bed.bz2", bz2.open), ("x.bed.zst", zstandard.open)):
         writers.write_lines(df, str(tmp_path / name), single=True)
+        with opened(tmp_path / name, "rt") as f:
+            assert f.read() == text
         assert bed.read_bed(spark, str(tmp_path / name), 12).count() == 1
+        writers.write_lines(df.unionByName(df).repartition(2), str(tmp_path / "parts" / name))
+        assert (tmp_path / "parts" / name).is_dir() and bed.read_bed(spark, str(tmp_path / "parts" / name), 12).count() == 2
+        writers.write_lines(df.limit(0), str(tmp_path / f"empty-{name}"), single=True)
+        assert bed.read_bed(spark, str(tmp_path / f"empty-{name}"), 12).count() == 0
+        with pytest.raises(FormatError):
+            writers.write_lines(df, str(tmp_path / name), single=True)
+    assert not [f for f in tmp_path.iterdir() if f.name.startswith("_")]
+
+
+def test_codec_by_name(spark, path, tmp_path):
+    """Files under other suffixes, of several frames and with blanks in their names, are unpacked as streams."""
+    from locusframe.sources.lines import read_encoded_lines
+
+    raw = b"".join(b"chr1\t%d\t%d\r\n" % (i, i + 1) for i in range(70_000))
+    packed = {"gzip": gzip.compress(raw[:1000]) + gzip.compress(raw[1000:]), "bzip2": bz2.compress(raw), "zstd": zstandard.compress(raw[:1000]) + zstandard.compress(raw[1000:])}
+    for codec, data in packed.items():
+        (tmp_path / f"a {codec}%20.bin").write_bytes(data)
+        rows = read_encoded_lines(spark, str(tmp_path / f"a {codec}%20.bin"), codec)
+        assert rows.count() == 70_000 and rows.filter("_raw <> concat_ws('\t', 'chr1', _line - 1, _line)").count() == 0
     with pytest.raises(FormatError):
-        writers.write_lines(df, str(tmp_path / "x.bed.zst"))
+        read_encoded_lines(spark, str(tmp_path), "lz4")
+
+
+def test_prune_reads_and_shuffles_lines_once(spark, tmp_path):
+    (tmp_path / "m.gtf").write_text(FILES["mixed.gtf"])
+    lines = spark.read.text(str(tmp_path / "m.gtf")).select(F.lit("f").alias("_file"), F.monotonically_increasing_id().alias("_line"), F.col("value").alias("_raw"))
+    plan = lint.prune_gxf(lines, "gtf")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan text") == 1 and plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_map_batches(spark, path):
+    import pyarrow as pa
+
+    def named(batch):
+        return pa.RecordBatch.from_arrays([pa.array([f"{n}!" for n in batch.column("name").to_pylist()])], ["name"])
+
+    rows = chunks.map_batches(bed.read_bed(spark, path("bed6.bed"), 6).select("name"), named, "name string")
+    assert sorted(r.name for r in rows.collect()) == ["geneA!", "geneB!"]
 
 
 def test_layout_query_runs_the_detection(spark, monkeypatch):
