@@ -11,7 +11,7 @@ from locusframe.schema import RECORD_DDL, FormatError, WriterOptions
 
 BLOCKS = dict(block_count=3, block_starts=[10, 40, 100], block_ends=[30, 90, 120])
 TX1 = dict(chrom="chr1", start=99, end=200, name="tx1", strand="+", thick_start=119, thick_end=180, block_count=2, block_starts=[99, 169], block_ends=[150, 200])
-TXR = dict(chrom="chr2", start=0, end=90, name="txR", strand="-", thick_start=10, thick_end=80, block_count=2, block_starts=[0, 40], block_ends=[20, 80])
+TXR = dict(chrom="chr2", start=0, end=90, name="rev1", strand="-", thick_start=10, thick_end=80, block_count=2, block_starts=[0, 40], block_ends=[20, 80])
 
 
 def frame(spark, *rows):
@@ -72,18 +72,18 @@ def test_phases_and_codons(spark):
 
 
 def test_record_text(spark):
-    df = frame(spark, dict(end=20), dict(end=20, name="geneA", strand="+"), dict(end=100, name="geneB", strand="-", thick_start=10, thick_end=100, block_count=2, block_starts=[10, 40], block_ends=[20, 60], extras={"second": ["extra2"], "first": ["extra1"]}))
+    df = frame(spark, dict(end=20), dict(end=20, name="alfa", strand="+"), dict(end=100, name="beta", strand="-", thick_start=10, thick_end=100, block_count=2, block_starts=[10, 40], block_ends=[20, 60], extras={"second": ["extra2"], "first": ["extra1"]}))
     assert [r[0] for r in df.select(writers.record_text()).collect()] == [
         ".\tchr1\t.\t10\t20\t10\t20\t0\t\t",
-        "geneA\tchr1\t+\t10\t20\t10\t20\t0\t\t",
-        "geneB\tchr1\t-\t10\t100\t10\t100\t2\t10,40\t20,60\tfirst=extra1\tsecond=extra2",
+        "alfa\tchr1\t+\t10\t20\t10\t20\t0\t\t",
+        "beta\tchr1\t-\t10\t100\t10\t100\t2\t10,40\t20,60\tfirst=extra1\tsecond=extra2",
     ]
 
 
 def test_bed_text_of_each_width(spark):
-    row = dict(end=100, name="geneA", strand="+", thick_start=20, thick_end=90, block_count=2, block_starts=[10, 40], block_ends=[20, 60], extras={"4": ["no"], "13": ["foo"], "14": ["bar", "baz"]})
+    row = dict(end=100, name="alfa", strand="+", thick_start=20, thick_end=90, block_count=2, block_starts=[10, 40], block_ends=[20, 60], extras={"4": ["no"], "13": ["foo"], "14": ["bar", "baz"]})
     df = frame(spark, row)
-    full = "chr1\t10\t100\tgeneA\t0\t+\t20\t90\t0,0,0\t2\t10,20,\t0,30,".split("\t")
+    full = "chr1\t10\t100\talfa\t0\t+\t20\t90\t0,0,0\t2\t10,20,\t0,30,".split("\t")
     for width in (3, 4, 5, 6, 8, 9, 12):
         assert one(df, writers.bed_text(width)) == "\t".join(full[:width])
     assert one(df, writers.bed_text(12, 2)) == "\t".join([*full, "foo", "bar,baz"])
@@ -102,7 +102,7 @@ def test_numbered_gtf_and_gff_with_a_gene_map(spark):
     assert one(df, writers.gxf_text("gtf", 2, F.lit("gene1"), "src")) == [f"chr1\tsrc\t{f}\t{s}\t{e}\t.\t+\t{p}\t{a}{more}" for f, s, e, p, a in rows]
     gff = one(df, writers.gxf_text("gff", 1, F.lit("gene1"), "src"))
     assert [line.split("\t")[8] for line in gff][:4] == ["ID=gene1;13=foo;", "ID=tx1;Parent=gene1;13=foo;", "Parent=tx1;exon_number=1;13=foo;", "Parent=tx1;exon_number=2;13=foo;"]
-    assert [line.split("\t")[8] for line in one(frame(spark, TXR), writers.gxf_text("gff"))][2:4] == ["Parent=txR;exon_number=2;", "Parent=txR;exon_number=1;"]
+    assert [line.split("\t")[8] for line in one(frame(spark, TXR), writers.gxf_text("gff"))][2:4] == ["Parent=rev1;exon_number=2;", "Parent=rev1;exon_number=1;"]
     with pytest.raises(Exception, match="missing numeric GXF additional fields"):
         df.select(writers.gxf_text("gtf", 3)).collect()
     with pytest.raises(FormatError, match="unsupported layout"):

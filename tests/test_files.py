@@ -21,18 +21,18 @@ def gtf(*rows, ids='gene_id "g1"; transcript_id "tx1";', strand="+", chrom="chr1
     return "".join(f"{chrom}\tsource\t{f}\t{s}\t{e}\t.\t{strand}\t.\t{ids}{extra}\n" for f, s, e, extra in rows)
 
 
-SIMPLE = gtf(("transcript", 100, 200, ' gene_name "GeneOne";'), ("exon", 100, 150, ""), ("exon", 170, 200, ""), ("CDS", 120, 180, ""))
+SIMPLE = gtf(("transcript", 100, 200, ' gene_name "Zeta9";'), ("exon", 100, 150, ""), ("exon", 170, 200, ""), ("CDS", 120, 180, ""))
 FILES = {
     "bed3.bed": "chr1\t0\t100\nchr1\t150\t200\n",
-    "bed6.bed": "chr1\t0\t100\tgeneA\t500\t+\nchr1\t150\t250\tgeneB\t900\t-\n",
-    "bed12.bed": "chr1\t100\t400\ttxA\t950\t+\t120\t360\t0,128,0\t2\t80,60,\t0,200,\n",
-    "bed12_extra.bed": "chr2\t50\t250\ttxB\t800\t-\t70\t200\t128,0,0\t3\t60,40,50\t0,100,150\tfoo\tbar\n",
+    "bed6.bed": "chr1\t0\t100\talfa\t500\t+\nchr1\t150\t250\tbeta\t900\t-\n",
+    "bed12.bed": "chr1\t100\t400\tmrnA\t950\t+\t120\t360\t0,128,0\t2\t80,60,\t0,200,\n",
+    "bed12_extra.bed": "chr2\t50\t250\tmrnB\t800\t-\t70\t200\t128,0,0\t3\t60,40,50\t0,100,150\tfoo\tbar\n",
     "simple.gtf": SIMPLE,
-    "simple.gff": "##gff-version 3\n" + "".join(f"chr1\tsource\t{f}\t{s}\t{e}\t.\t+\t.\t{a}\n" for f, s, e, a in [("mRNA", 100, 200, "ID=tx1;Name=Tx1"), ("exon", 100, 150, "Parent=tx1"), ("exon", 170, 200, "Parent=tx1"), ("CDS", 120, 180, "Parent=tx1")]),
-    "parentless.gtf": 'chr1\tsource\tgene\t100\t200\t.\t+\t.\tgene_id "g1"; gene_name "GeneOne";\n' + SIMPLE,
-    "single.gtf": gtf(("five_prime_utr", 88831747, 88831747, ' gene_name "GeneOne";'), ("exon", 88831747, 88831747, ""), strand="-"),
+    "simple.gff": "##gff-version 3\n" + "".join(f"chr1\tsource\t{f}\t{s}\t{e}\t.\t+\t.\t{a}\n" for f, s, e, a in [("mRNA", 100, 200, "ID=tx1;Name=Mone"), ("exon", 100, 150, "Parent=tx1"), ("exon", 170, 200, "Parent=tx1"), ("CDS", 120, 180, "Parent=tx1")]),
+    "parentless.gtf": 'chr1\tsource\tgene\t100\t200\t.\t+\t.\tgene_id "g1"; gene_name "Zeta9";\n' + SIMPLE,
+    "single.gtf": gtf(("five_prime_utr", 4711, 4711, ' gene_name "Zeta9";'), ("exon", 4711, 4711, ""), strand="-"),
     "stop.gtf": gtf(("transcript", 100, 200, ""), ("exon", 100, 200, ""), ("CDS", 110, 190, ""), ("stop_codon", 100, 102, ""), strand="-"),
-    "codons.gtf": gtf(("transcript", 51, 250, ""), ("exon", 51, 150, ""), ("exon", 180, 250, ""), ("CDS", 73, 150, ""), ("CDS", 180, 197, ""), ("start_codon", 70, 72, ""), ("stop_codon", 198, 200, ""), chrom="chrC"),
+    "codons.gtf": gtf(("transcript", 51, 250, ""), ("exon", 51, 150, ""), ("exon", 180, 250, ""), ("CDS", 73, 150, ""), ("CDS", 180, 197, ""), ("start_codon", 70, 72, ""), ("stop_codon", 198, 200, ""), chrom="chrQ"),
     "mixed.gtf": "# keep this\n" + gtf(("transcript", 1, 100, ""), ("exon", 1, 50, "")) + gtf(("transcript", 200, 250, ""), ("exon", 100, 120, ""), ids='gene_id "g2"; transcript_id "bad";'),
     "swapped.bed": "# comment\nchr1\t0\t10\nchr1\t20\t20\nchr2\t5\t8\n",
     "rgb9.bed": "chr1\t0\t10\ttx1\t500\t+\t0\t10\t255,0,300\n",
@@ -63,8 +63,8 @@ def shape(r):
 
 def test_bed_files(spark, path):
     assert [(r.start, r.end, r.strand) for r in bed.read_bed(spark, path("bed3.bed"), 3).orderBy("_line").collect()] == [(0, 100, None), (150, 200, None)]
-    assert [(r.name, r.strand) for r in bed.read_bed(spark, path("bed6.bed"), 6).orderBy("_line").collect()] == [("geneA", "+"), ("geneB", "-")]
-    assert shape(bed.read_bed(spark, path("bed12.bed"), 12).first()) == ("chr1", 100, 400, "txA", "+", 120, 360, [(100, 180), (300, 360)])
+    assert [(r.name, r.strand) for r in bed.read_bed(spark, path("bed6.bed"), 6).orderBy("_line").collect()] == [("alfa", "+"), ("beta", "-")]
+    assert shape(bed.read_bed(spark, path("bed12.bed"), 12).first()) == ("chr1", 100, 400, "mrnA", "+", 120, 360, [(100, 180), (300, 360)])
     extra = bed.read_bed(spark, path("bed12_extra.bed"), 12, 2).first()
     assert shape(extra)[7] == [(50, 110), (150, 190), (200, 250)] and extra.extras == {"13": ["foo"], "14": ["bar"]}
     assert bed.read_bed(spark, path("bed12_extra.bed"), 6).first().extras == {}
@@ -103,13 +103,13 @@ def test_first_wrong_field_gives_the_error(spark, tmp_path):
 @pytest.mark.parametrize(
     "file, expected",
     [
-        ("simple.gtf", ("chr1", 99, 200, "GeneOne", "+", 119, 180, [(99, 150), (169, 200)])),
-        ("parentless.gtf", ("chr1", 99, 200, "GeneOne", "+", 119, 180, [(99, 150), (169, 200)])),
-        ("simple.gtf.gz", ("chr1", 99, 200, "GeneOne", "+", 119, 180, [(99, 150), (169, 200)])),
-        ("single.gtf", ("chr1", 88831746, 88831747, "GeneOne", "-", None, None, [(88831746, 88831747)])),
+        ("simple.gtf", ("chr1", 99, 200, "Zeta9", "+", 119, 180, [(99, 150), (169, 200)])),
+        ("parentless.gtf", ("chr1", 99, 200, "Zeta9", "+", 119, 180, [(99, 150), (169, 200)])),
+        ("simple.gtf.gz", ("chr1", 99, 200, "Zeta9", "+", 119, 180, [(99, 150), (169, 200)])),
+        ("single.gtf", ("chr1", 4710, 4711, "Zeta9", "-", None, None, [(4710, 4711)])),
         ("stop.gtf", ("chr1", 99, 200, "tx1", "-", 99, 190, [(99, 200)])),
-        ("codons.gtf", ("chrC", 50, 250, "tx1", "+", 69, 200, [(50, 150), (179, 250)])),
-        ("simple.gff", ("chr1", 99, 200, "Tx1", "+", 119, 180, [(99, 150), (169, 200)])),
+        ("codons.gtf", ("chrQ", 50, 250, "tx1", "+", 69, 200, [(50, 150), (179, 250)])),
+        ("simple.gff", ("chr1", 99, 200, "Mone", "+", 119, 180, [(99, 150), (169, 200)])),
     ],
 )
 def test_grouped_files(spark, path, file, expected):
@@ -162,19 +162,19 @@ def run(spark, capfdbinary, *argv):
 @pytest.mark.parametrize(
     "argv, out",
     [
-        (["exons", "bed12.bed"], "chr1\t100\t180\ttxA\t0\t+\nchr1\t300\t360\ttxA\t0\t+\n"),
-        (["exons", "simple.gtf"], "chr1\t99\t150\tGeneOne\t0\t+\nchr1\t169\t200\tGeneOne\t0\t+\n"),
-        (["exons", "bed6.bed"], "chr1\t0\t100\tgeneA\t0\t+\nchr1\t150\t250\tgeneB\t0\t-\n"),
-        (["cds", "simple.gtf"], "chr1\t119\t150\tGeneOne\t0\t+\nchr1\t169\t180\tGeneOne\t0\t+\n"),
+        (["exons", "bed12.bed"], "chr1\t100\t180\tmrnA\t0\t+\nchr1\t300\t360\tmrnA\t0\t+\n"),
+        (["exons", "simple.gtf"], "chr1\t99\t150\tZeta9\t0\t+\nchr1\t169\t200\tZeta9\t0\t+\n"),
+        (["exons", "bed6.bed"], "chr1\t0\t100\talfa\t0\t+\nchr1\t150\t250\tbeta\t0\t-\n"),
+        (["cds", "simple.gtf"], "chr1\t119\t150\tZeta9\t0\t+\nchr1\t169\t180\tZeta9\t0\t+\n"),
         (["cds", "bed6.bed"], ""),
-        (["introns", "bed12.bed"], "chr1\t180\t300\ttxA\t0\t+\n"),
+        (["introns", "bed12.bed"], "chr1\t180\t300\tmrnA\t0\t+\n"),
         (["introns", "lone.bed"], ""),
-        (["utr", "simple.gtf"], "chr1\t99\t119\tGeneOne\t0\t+\nchr1\t180\t200\tGeneOne\t0\t+\n"),
-        (["fiveutr", "simple.gtf"], "chr1\t99\t119\tGeneOne\t0\t+\n"),
-        (["threeutr", "simple.gtf"], "chr1\t180\t200\tGeneOne\t0\t+\n"),
+        (["utr", "simple.gtf"], "chr1\t99\t119\tZeta9\t0\t+\nchr1\t180\t200\tZeta9\t0\t+\n"),
+        (["fiveutr", "simple.gtf"], "chr1\t99\t119\tZeta9\t0\t+\n"),
+        (["threeutr", "simple.gtf"], "chr1\t180\t200\tZeta9\t0\t+\n"),
         (["exons", "--type", "3", "bed12.bed"], "chr1\t100\t180\nchr1\t300\t360\n"),
-        (["exons", "--type", "9", "bed12.bed"], "chr1\t100\t180\ttxA\t0\t+\t100\t180\t0,0,0\nchr1\t300\t360\ttxA\t0\t+\t300\t360\t0,0,0\n"),
-        (["exons", "-a", "gene_id,nonexistent", "simple.gtf"], "chr1\t99\t150\tGeneOne\t0\t+\tg1\t.\nchr1\t169\t200\tGeneOne\t0\t+\tg1\t.\n"),
+        (["exons", "--type", "9", "bed12.bed"], "chr1\t100\t180\tmrnA\t0\t+\t100\t180\t0,0,0\nchr1\t300\t360\tmrnA\t0\t+\t300\t360\t0,0,0\n"),
+        (["exons", "-a", "gene_id,nonexistent", "simple.gtf"], "chr1\t99\t150\tZeta9\t0\t+\tg1\t.\nchr1\t169\t200\tZeta9\t0\t+\tg1\t.\n"),
     ],
 )
 def test_feature_commands(spark, path, capfdbinary, argv, out):
@@ -305,7 +305,7 @@ def test_map_batches(spark, path):
         return pa.RecordBatch.from_arrays([pa.array([f"{n}!" for n in batch.column("name").to_pylist()])], ["name"])
 
     rows = chunks.map_batches(bed.read_bed(spark, path("bed6.bed"), 6).select("name"), named, "name string")
-    assert sorted(r.name for r in rows.collect()) == ["geneA!", "geneB!"]
+    assert sorted(r.name for r in rows.collect()) == ["alfa!", "beta!"]
 
 
 def test_layout_query_runs_the_detection(spark, monkeypatch):
