@@ -13,9 +13,10 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import fresh_folder, runs, save, ship, take_place
+from locusframe.llm.common import discard, fresh_folder, named, runs, save, ship, take_place
 
 #: Bytes of a record's block beyond which it is cut into continuation records, and of one transfer chunk.
 SEGMENT_BYTES, CHUNK_BYTES = 32_768, 8_192
@@ -98,14 +99,12 @@ def _writer(folder: str, segment_bytes: int, date: str):
         # A task that runs again writes the same bytes under its own name and then takes the place of the file.
         name = f"{root}/part-{task.partitionId():06d}.warc.gz"
         own = f"{name}.{task.taskAttemptId()}"
-        count, before, copy = 0, None, 0
+        count = 0
         with store.open_output_stream(own) as out:
             for batch in batches:
-                for page, url, html, first in zip(*[batch.column(c).to_pylist() for c in ("page_id", "url", "html", "first_id")]):
+                for page, url, html, first, copy in zip(*[batch.column(c).to_pylist() for c in ("page_id", "url", "html", "first_id", "copy")]):
                     payload = (html or "").encode("utf-8", "surrogatepass")
                     digest = _base32_sha1(payload)
-                    copy = copy + 1 if (page, digest) == before else 0  # a repeated row revisits the row before it
-                    before = (page, digest)
                     headers = {"WARC-Type": "response", "WARC-Record-ID": f"<{_ID}{_named(page)}:{copy}>", "WARC-Date": date, "WARC-Payload-Digest": f"sha1:{digest}", "Content-Type": "application/http; msgtype=response"}
                     if url is not None:
                         headers["WARC-Target-URI"] = quote(url, safe=":/?#[]@!$&'()*+,;=%~")
@@ -132,17 +131,25 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     Of records with equal payloads of ``least_bytes`` or more, the one with the
     smallest id is a response and the others revisit it. Digests are summed up
     before any text moves: only (id, digest) rows meet, with map-side combining, so
-    a payload of any number of pages is no hot group; texts are dealt once, by id.
+    a payload of any number of pages is no hot group; texts are dealt once, by a hash of
+    id and payload. Rows equal in both are numbered in order of their urls over the same
+    dealing, and the first of them is the one that the others revisit.
     """
     ship(pages.sparkSession)
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    rows = pages.select(named(id_col).alias("page_id"), named(url_col).alias("url"), F.coalesce(named(html_col), F.lit("")).alias("html"))
     body = F.col("html").cast("binary")
     facts = save(rows.select("page_id", F.sha1(body).alias("digest"), F.octet_length(body).alias("bytes")).filter(F.col("bytes") >= least_bytes), "warc-digests")
     first = facts.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("digest", "first_id")
-    roles = facts.join(first, "digest").select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), "first_id").distinct()
-    named = rows.withColumn("_digest", F.sha1(body)).join(roles.hint("merge"), F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("_digest") == F.col("_d")), "left")
-    dealt = named.sortWithinPartitions("page_id", "_digest").select("page_id", "url", "html", "first_id")
-    return save(dealt.mapInArrow(_writer(folder, segment_bytes, date), "archive string, records long"), "warc-archives")
+    key = F.xxhash64("page_id", "digest")
+    roles = facts.join(first, "digest").select(key.alias("_k"), F.col("page_id").alias("_p"), F.col("digest").alias("_d"), "first_id").distinct()
+    marked = rows.withColumn("digest", F.sha1(body)).withColumn("key", key)
+    same = (F.col("key") == F.col("_k")) & F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("digest") == F.col("_d"))
+    # The window asks for rows of a key together, so no partition of the join is split for its size.
+    alike = W.partitionBy("key", "page_id", "digest").orderBy("url")
+    dealt = marked.join(roles.hint("merge"), same, "left").withColumn("copy", F.row_number().over(alike) - 1).select("page_id", "url", "html", "first_id", "copy")
+    out = save(dealt.mapInArrow(_writer(folder, segment_bytes, date), "archive string, records long"), "warc-archives")
+    discard(facts)
+    return out
 
 
 def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -260,9 +267,12 @@ def round_trip(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
 
     A null html is an empty payload; a null url gives a record without a target; a
     null id is a page of its own. Of repeated rows (equal id and payload) the first
-    is the response and the others revisit it. An empty table gives an empty
-    result. Other columns of ``pages`` are not read.
+    is the response and the others revisit it. A payload of any length is one row, cut
+    into segments. An empty table gives an empty result. Other columns of ``pages`` are
+    not read.
     """
     folder = fresh_folder(pages.sparkSession, "warc")
     archives = write_archives(pages, folder, id_col=id_col, url_col=url_col, html_col=html_col, least_bytes=least_bytes, segment_bytes=segment_bytes)
-    return read_archives(archives, folder, pages.schema[id_col].dataType.simpleString())
+    out = read_archives(archives, folder, pages.select(named(id_col)).schema[0].dataType.simpleString())
+    discard(archives)
+    return out

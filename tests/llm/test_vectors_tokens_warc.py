@@ -245,6 +245,20 @@ def test_warc_round_trip(spark):
     assert {r.record_type for r in least} == {"response"}
 
 
+def test_repeated_pages_have_one_response(spark):
+    """Also where Spark would split a partition of the join for its size."""
+    rng = random.Random(3)
+    rows = [(7, f"u{i}", "x" * 3000) for i in range(600)] + [(i, "v", "".join(rng.choice("ab ") for _ in range(200))) for i in range(100, 160)] + [(8, "w", "x" * 3000)]
+    small = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2000", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2000"}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        check_warc(rows, warc.round_trip(pages(spark, rows).repartition(8)).collect())
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+
+
 def test_null_page_ids_are_responses(spark):
     found = warc.round_trip(pages(spark, [(None, "u", "a"), (None, "u", "a"), (5, "u", "b")])).collect()
     assert len(found) == 3 and {r.record_type for r in found} == {"response"}
