@@ -105,13 +105,13 @@ def _hot_window(codes: Column, c: CharClass) -> Column:
     each = 62 // wide
     numbers = -(-(len(c.alphabet) + 1) // each)
     # Where a character's count is: which number, and its lowest bit there.
-    where = F.array(*[F.struct(F.lit(x // each).alias("number"), F.lit(1 << (x % each * wide)).cast("long").alias("one")) for x in range(len(c.alphabet) + 1)])
+    where = F.array(*[F.struct(F.lit(x // each).alias("number"), F.lit(x % each * wide).alias("shift"), F.lit(1 << (x % each * wide)).cast("long").alias("one")) for x in range(len(c.alphabet) + 1)])
     start = F.struct(F.array_repeat(F.lit(0).cast("long"), numbers).alias("n"), F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
 
     def step(state: Column, i: Column) -> Column:
         new, old = F.get(codes, i), F.when(i >= c.window, F.get(codes, i - c.window)).otherwise(-1)
         at_new, at_old = F.get(where, new), F.get(where, F.greatest(old, F.lit(0)))
-        count = lambda at: F.floor(F.get(state["n"], at["number"]) / at["one"]).bitwiseAND(F.lit((1 << wide) - 1)).cast("int")
+        count = lambda at: F.call_function("shiftright", F.get(state["n"], at["number"]), at["shift"]).bitwiseAND(F.lit((1 << wide) - 1)).cast("int")
         n_new, n_old = count(at_new), count(at_old)
         change = F.when(new == old, 0.0).otherwise(term(n_new + 1) - term(n_new) + F.when(old >= 0, term(n_old - 1) - term(n_old)).otherwise(0.0))
         moved = lambda n, at: n + F.when(at == at_new["number"], at_new["one"]).otherwise(0) - F.when((old >= 0) & (at == at_old["number"]), at_old["one"]).otherwise(0)

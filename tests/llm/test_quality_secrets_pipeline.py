@@ -153,6 +153,20 @@ def test_spans_against_plain_code(spark):
         assert found[i].spans == listed(base + plain_entropy(t)), t
 
 
+def test_entropy_of_random_candidates(spark):
+    """Runs of every class's characters, some of few different ones, so that windows lie close to the bound on both sides."""
+    rng = random.Random(44)
+    texts = []
+    for c in secret_scan.CLASSES:
+        for _ in range(250):
+            some = rng.sample(c.alphabet, rng.randrange(6, min(24, len(c.alphabet))))
+            texts.append("".join(rng.choice(some) for _ in range(rng.randrange(c.window, 90))))
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    found = {r.doc_id: r.spans for r in secret_scan.digest(secret_scan.scan(spark.createDataFrame(rows, DOCS))).collect()}
+    expected = {i: listed(plain_base(t) + plain_entropy(t)) for i, t, *_ in rows}
+    assert found == expected and sum("entropy" in s for s in expected.values()) > 200 < sum("entropy" not in s for s in expected.values())
+
+
 def test_scan_stays_in_the_jvm(spark):
     plan = secret_scan.digest(secret_scan.scan(documents(spark, odd_rows())))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
