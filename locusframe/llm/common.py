@@ -205,7 +205,8 @@ def maybe_in(keys: DataFrame) -> Callable[[Column], Column]:
     A Bloom filter of FILTER_WORDS words at most, for any number of keys: it comes to
     a query as one value of a scalar subquery. Beyond some millions of keys it lets
     all pass; an exact join must follow it, so it saves work and decides nothing.
-    ``keys`` is read twice and should be a saved table's.
+    ``keys`` is read twice and should be a saved table's. The filter is written, so that
+    it is made once however often it is asked; ``folder`` of the test tells where.
     """
     words = min(FILTER_WORDS, 1 << max(4, (keys.count() * FILTER_BITS // 64).bit_length()))
     bits_of = lambda value: [F.pmod(F.xxhash64(value, F.lit(i)), F.lit(words * 64)) for i in range(FILTER_PROBES)]
@@ -213,7 +214,7 @@ def maybe_in(keys: DataFrame) -> Callable[[Column], Column]:
     ones = bits.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("word"))
     none = keys.sparkSession.range(0, words, 1, 1).select(F.col("id").alias("at"), F.lit(0).cast("long").alias("word"))
     # One row a word in the last task, whatever the number of keys.
-    whole = none.unionByName(ones).groupBy("at").agg(F.bit_or("word").alias("word")).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]).alias("words"))
+    whole = save(none.unionByName(ones).groupBy("at").agg(F.bit_or("word").alias("word")).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]).alias("words")), "filter")
 
     def test(value: Column) -> Column:
         held = F.lit(True)
@@ -222,6 +223,7 @@ def maybe_in(keys: DataFrame) -> Callable[[Column], Column]:
             held = held & (F.call_function("getbit", word, bit.bitwiseAND(F.lit(63)).cast("int")) == 1)
         return held
 
+    test.folder = whole._saved_at
     return test
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import discard, join_hot, maybe_in, named, parts_for, runs, save, ship, unpacked, whole_row
+from locusframe.llm.common import delete_folders, discard, join_hot, maybe_in, named, parts_for, runs, save, ship, unpacked, whole_row
 from locusframe.llm.components import components
 from locusframe.llm.pairs import Sets, gridded, sides
 from locusframe.llm.shingles import chunks, gram_sets, ngram_hashes, signatures, text_buffer, word_hashes
@@ -338,6 +338,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     facts = save(in_class.unionByName(alone).select(*known), "jaccard-facts")
     keeper = F.col("heads") & F.col("doc_id").eqNullSafe(F.col("class_id"))
     out = save(join_hot(sketches.select("doc_id", "digest"), facts, "digest", "n_copies", total).withColumn("keeper", keeper), "jaccard")
+    delete_folders(docs.sparkSession, [asked.folder])
     discard(sketches, texts, groups, sizes, wanted, parts, bytes_of, checked, stars, linked, least, facts)
     result = out.select("doc_id", "text_id", "class_id", "n_copies", "n_links", "n_linked_texts", "keeper", "digest")
     result._saved_at = out._saved_at
