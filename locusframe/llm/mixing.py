@@ -166,9 +166,9 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
         likely = rows.filter(asked(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit("")), "t")))
         alike = likely.join(small_side(some_picks, n_some), same).withColumn("_hash", F.xxhash64(F.to_json("row"))).withColumn("_row", F.monotonically_increasing_id())
         alike = save(alike.select("row", "doc_id", "source", "t", "size", "whole", "more", "_hash", "_row"), "mix-alike")
-        ranked = numbered(alike, [F.col(c) for c in ("t", "doc_id", "source", "size", "_hash", "_row")], "_at", "mix-ranked")
-        first = ranked.groupBy(F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("t").alias("_t")).agg(F.min("_at").alias("_first"))
-        more = ranked.join(small_side(first, n_some), same).withColumn("times", F.col("whole") + F.when(F.col("_at") - F.col("_first") < F.col("more"), 1).otherwise(0))
+        ranked = numbered(alike, [F.col(c) for c in ("t", "doc_id", "source", "size", "_hash", "_row")], "place", "mix-ranked")
+        first = ranked.groupBy(F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("t").alias("_t")).agg(F.min("place").alias("_first"))
+        more = ranked.join(small_side(first, n_some), same).withColumn("times", F.col("whole") + F.when(F.col("place") - F.col("_first") < F.col("more"), 1).otherwise(0))
         sure = sure.unionByName(more.filter("times > 0").select("row", "times"))
         discard(alike)
     discard(sources)
