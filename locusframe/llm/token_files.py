@@ -98,7 +98,8 @@ class Encoder:
         self.recent["\n"] = self.line
         known, join = self.recent.get, b"".join
         out: list[bytes | None] = [None] * len(texts)
-        waiting: list[tuple[int, list[str]]] = []
+        waiting: list[tuple[int, list[bytes | None], list[tuple[int, str]]]] = []
+        met: dict[str, bytes | None] = {}
         other: list[int] = []
         for i, t in enumerate(texts):
             if not (t and self.in_units and _plain(t)):
@@ -111,18 +112,20 @@ class Encoder:
                 units += own
                 units.append("\n")
             units.pop()
+            ids = list(map(known, units))
             try:
-                out[i] = join(map(known, units))
+                out[i] = join(ids)
             except TypeError:  # a unit is not known
-                waiting.append((i, units))
-        met: dict[str, bytes | None] = {}
-        for _, units in waiting:
-            for u in units:
-                if u not in met and known(u) is None:
-                    met[u] = self._found(u)
+                holes = [(at, units[at]) for at, x in enumerate(ids) if x is None]
+                waiting.append((i, ids, holes))
+                for _, u in holes:
+                    if u not in met:
+                        met[u] = self._found(u)
         met.update(self._encode_units([u for u, x in met.items() if x is None]))
-        for i, units in waiting:
-            out[i] = join([known(u) or met[u] for u in units])
+        for i, ids, holes in waiting:
+            for at, u in holes:
+                ids[at] = met[u]
+            out[i] = join(ids)
         self.recent.update((u, x) for u, x in met.items() if len(u) <= CACHED_CHARS)
         for i, ids in zip(other, self._ids([texts[i] for i in other])):
             out[i] = ids.tobytes()
