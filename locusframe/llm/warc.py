@@ -140,13 +140,13 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     body = F.col("html").cast("binary")
     facts = save(rows.select("page_id", F.sha1(body).alias("digest"), F.octet_length(body).alias("bytes")).filter(F.col("bytes") >= least_bytes), "warc-digests")
     first = facts.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("digest", "first_id")
-    key = F.xxhash64("page_id", "digest")
-    roles = facts.join(first, "digest").select(key.alias("_k"), F.col("page_id").alias("_p"), F.col("digest").alias("_d"), "first_id").distinct()
-    marked = rows.withColumn("digest", F.sha1(body)).withColumn("key", key)
-    same = (F.col("key") == F.col("_k")) & F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("digest") == F.col("_d"))
+    # Keys without nulls: a null-safe comparison would deal by other expressions than the window's, and the texts twice.
+    keys = {"key": F.xxhash64("page_id", "digest"), "page": F.coalesce(F.col("page_id").cast("string"), F.lit("")), "no_page": F.col("page_id").isNull()}
+    roles = facts.join(first, "digest").withColumns(keys).select(*keys, "digest", "first_id").distinct()
+    marked = rows.withColumn("digest", F.sha1(body)).withColumns(keys)
     # The window asks for rows of a key together, so no partition of the join is split for its size.
-    alike = W.partitionBy("key", "page_id", "digest").orderBy("url")
-    dealt = marked.join(roles.hint("merge"), same, "left").withColumn("copy", F.row_number().over(alike) - 1).select("page_id", "url", "html", "first_id", "copy")
+    alike = W.partitionBy(*keys, "digest").orderBy("url")
+    dealt = marked.join(roles.hint("merge"), [*keys, "digest"], "left").withColumn("copy", F.row_number().over(alike) - 1).select("page_id", "url", "html", "first_id", "copy")
     out = save(dealt.mapInArrow(_writer(folder, segment_bytes, date), "archive string, records long"), "warc-archives")
     discard(facts)
     return out
