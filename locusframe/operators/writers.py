@@ -228,12 +228,30 @@ def _zstd_writer(folder: str):
     return run
 
 
+def _put_end_to_end(spark, store, parts: list, target, whole) -> None:
+    """One file of many, copied by the driver's JVM a buffer at a time; it is at its place when it is whole."""
+    copy = spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes
+    out = store.create(whole)
+    try:
+        for part in parts:
+            packed = store.open(part)
+            try:
+                copy(packed, out, 4 << 20, False)
+            finally:
+                packed.close()
+    finally:
+        out.close()
+    store.rename(whole, target)
+
+
 def write_lines(lines: DataFrame, path: str, single: bool = False) -> None:
     """Writes ``value`` as text under ``path``, which must not be there; a ``.gz``, ``.bz2`` or ``.zst`` path compresses.
 
-    Without ``single`` the path is a folder of part files. With it the path is one file,
-    written by one task. Spark's text sink has no zstd codec, so such parts are written
-    by Python tasks; of a task that ran more than once, one file takes its place in the end.
+    Without ``single`` the path is a folder of part files. With it the path is one file:
+    the parts, each compressed by its own task, put end to end, a few megabytes at a
+    time; gzip, bzip2 and zstd files may be made of several streams. Spark's text sink
+    has no zstd codec, so such parts are written by Python tasks; of a task that ran
+    more than once, one file takes its place in the end.
     """
     spark, suffix = lines.sparkSession, path.rsplit(".", 1)[-1] if "." in path else ""
     paths = spark._jvm.org.apache.hadoop.fs.Path
@@ -243,7 +261,6 @@ def write_lines(lines: DataFrame, path: str, single: bool = False) -> None:
     if store.exists(target):
         raise FormatError(f"{path} is already there")
     out = lines.select("value")
-    out = out.coalesce(1) if single else out
     if suffix not in ("zst", "zstd") and not single:
         out.write.option("compression", CODECS.get(suffix, "none")).text(path)
         return
@@ -258,14 +275,13 @@ def write_lines(lines: DataFrame, path: str, single: bool = False) -> None:
             names = [done[p] for p in sorted(done)]
         else:
             out.write.option("compression", CODECS.get(suffix, "none")).text(at.toString())
-            names = [f.getPath().getName() for f in store.listStatus(at) if f.getPath().getName().startswith("part-")]
-        if not single:
-            store.mkdirs(target)
-        elif not names:
-            store.create(target).close()
+            names = sorted(f.getPath().getName() for f in store.listStatus(at) if f.getPath().getName().startswith("part-"))
+        if single:
+            _put_end_to_end(spark, store, [paths(at, name) for name in names], target, paths(at, "whole"))
+            return
+        store.mkdirs(target)
         for name in names:
-            store.rename(paths(at, name), target if single else paths(target, f"{name.split('.')[0]}.{suffix}"))
-        if not single:
-            store.create(paths(target, "_SUCCESS")).close()
+            store.rename(paths(at, name), paths(target, f"{name.split('.')[0]}.{suffix}"))
+        store.create(paths(target, "_SUCCESS")).close()
     finally:
         store.delete(at, True)

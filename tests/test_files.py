@@ -313,3 +313,13 @@ def test_layout_query_runs_the_detection(spark, monkeypatch):
     monkeypatch.setattr(detect, "detect_layout", lambda *a: seen.append(real(*a)) or seen[-1])
     row = registry.QUERIES["s42_detected_layout"](spark, "/root/testdata/sf0.001").first()
     assert seen == [(6, 2)] and (row["width"], row["additional"]) == (6, 2)
+
+
+@pytest.mark.parametrize("suffix, mark", [("gz", b"\x1f\x8b\x08"), ("bz2", b"BZh9\x31\x41\x59\x26"), ("zst", b"\x28\xb5\x2f\xfd")])
+def test_a_single_file_is_written_by_many_tasks(spark, tmp_path, suffix, mark):
+    """Each task compresses its part; the parts follow one another in the one file, in order."""
+    df, path = spark.range(0, 9000, 1, 5).select(F.col("id").cast("string").alias("value")), str(tmp_path / f"x.{suffix}")
+    writers.write_lines(df, path, single=True)
+    assert open(path, "rb").read().count(mark) >= 5
+    assert [r._raw for r in read_lines(spark, path).orderBy("_line").collect()] == [str(i) for i in range(9000)]
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == [f"x.{suffix}"]
