@@ -14,7 +14,7 @@ from locusframe.plans.bridge import SQL, scratch
 from locusframe.plans.registry import query
 from locusframe.schema import BED_WIDTHS, WriterOptions
 from locusframe.sources import bed, detect, gxf
-from locusframe.sources.lines import lines_of
+from locusframe.sources.lines import held, lines_of
 from locusframe.streaming.bed_stream import ingest, stream_bed
 
 _V = "CAST({} AS VARCHAR)".format
@@ -138,7 +138,7 @@ def _attributes(spark, sf_dir, kind: str, separator: str) -> DataFrame:
     pairs = {"gene_id": F.concat(F.lit("g"), F.col("extras")["13"][0]), "transcript_id": F.col("name"), "tag": F.array_join(F.col("extras")["14"], "/")}
     text = F.concat(*[F.concat(F.lit(f'{k} "'), v, F.lit('"; ')) if kind == "gtf" else F.concat(F.lit(f"{k}="), v, F.lit(";")) for k, v in pairs.items()])
     df = bridge.records(spark, sf_dir).withColumn("text", text).withColumn("pairs", tokens(F.col("text"), separator))
-    return df.withColumn("m", to_map(F.col("pairs"))).select("name", F.explode("m").alias("key", "values")).select("name", "key", F.col("values")[0].alias("value"))
+    return held(df.withColumn("m", to_map(F.col("pairs")))).select("name", F.explode("m").alias("key", "values")).select("name", "key", F.col("values")[0].alias("value"))
 
 
 @query("s15_gtf_attributes", _ATTRS_SQL)

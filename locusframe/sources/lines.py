@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from locusframe.functions.arrays import let
 from locusframe.functions.fields import trimmed
 from locusframe.schema import FormatError
 from locusframe.shipping import ship
@@ -86,6 +87,17 @@ def read_encoded_lines(spark: SparkSession, path: str | list[str], codec: str) -
     return files.mapInArrow(run, "_file string, _line bigint, _raw string")
 
 
+def held(rows: DataFrame) -> DataFrame:
+    """``rows`` whose columns are worked out once.
+
+    A filter that follows would be pushed below them, with a copy of their expressions
+    for each place that names them. It stays above a column that differs by task. As
+    that column has a lambda, the columns are compiled in parts and not into one
+    method with the steps around them, which the JVM interprets if it is long.
+    """
+    return rows.withColumn("_task", let(F.spark_partition_id(), lambda task: task)).filter("_task >= 0").drop("_task")
+
+
 def not_text(raw: Column) -> Column:
     """The message for a line that is not UTF-8; null for one that is."""
     return F.when(~F.is_valid_utf8(raw), F.lit("invalid UTF-8"))
