@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from locusframe.functions.arrays import let
 
 #: What counts as white space at the ends of lines and fields.
 WHITE = " \t\n\f\r"
@@ -20,9 +23,17 @@ class Field:
     error: Column
 
 
+def _any(test: Callable[[str], Column]) -> Column:
+    return reduce(lambda a, b: a | b, [test(c) for c in WHITE])
+
+
 def trimmed(text: Column) -> Column:
-    """Without ASCII white space at either end."""
-    return F.btrim(text, F.lit(WHITE))
+    """Without ASCII white space at either end. Most texts have none, and trimming goes over all of a text."""
+    return F.when(_any(text.startswith) | _any(text.endswith), F.btrim(text, F.lit(WHITE))).otherwise(text)
+
+
+def right_trimmed(text: Column) -> Column:
+    return F.when(_any(text.endswith), F.rtrim(text, F.lit(WHITE))).otherwise(text)
 
 
 def unsigned(text: Column, label: str, most: int = (1 << 63) - 1) -> Field:
@@ -56,12 +67,12 @@ def rgb_text(value: Column) -> Column:
     return F.concat_ws(",", *[value[c].cast("string") for c in "rgb"])
 
 
-def unsigned_list(text: Column, label: str) -> Field:
-    """Comma-separated 32-bit numbers; empty items are passed over."""
+def unsigned_list(text: Column, label: str, read: Column | None = None) -> Field:
+    """Comma-separated 32-bit numbers; empty items are passed over. ``read`` is the value, where a column holds it already."""
     items = F.filter(F.split(text, ",", -1), lambda x: x != "")
     numbers = F.transform(items, lambda x: F.when(x.rlike(r"^\+?[0-9]+\z"), x.try_cast("bigint")))
-    good = F.forall(numbers, lambda x: F.coalesce(x <= 4294967295, F.lit(False)))
-    return Field(F.when(good, numbers), F.when(~good, F.concat(F.lit(f"invalid {label}: expected unsigned integers, got '"), text, F.lit("'"))))
+    value = let(numbers, lambda n: F.when(F.forall(n, lambda x: F.coalesce(x <= 4294967295, F.lit(False))), n)) if read is None else read
+    return Field(value, F.when(value.isNull(), F.concat(F.lit(f"invalid {label}: expected unsigned integers, got '"), text, F.lit("'"))))
 
 
 def first_error(*errors: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from locusframe.functions import fields as f
 from locusframe.functions.extras import empty_extras
 from locusframe.schema import EXTRAS, FormatError, check_width
-from locusframe.sources.lines import not_text, read_lines, skipped_bed
+from locusframe.sources.lines import held, not_text, read_lines, skipped_bed
 
 MODES = ("permissive", "drop", "strict")
 
@@ -28,7 +28,7 @@ def parse_bed(lines: DataFrame, width: int, additional_fields: int = 0) -> DataF
     check_width(width)
     if additional_fields < 0:
         raise FormatError("additional_fields must not be negative")
-    split = lines.filter(~skipped_bed(F.col("_raw"))).withColumn("_f", bed_fields(F.col("_raw")))
+    split = held(lines.select("_file", "_line", "_raw")).filter(~skipped_bed(F.col("_raw"))).withColumn("_f", bed_fields(F.col("_raw")))
     at = lambda i: F.get(F.col("_f"), F.lit(i))
     need = width + additional_fields
     short = F.when(F.size("_f") < need, F.concat(F.lit("line has "), F.size("_f").cast("string"), F.lit(f" fields, expected {need}")))
@@ -53,7 +53,8 @@ def parse_bed(lines: DataFrame, width: int, additional_fields: int = 0) -> DataF
     if width >= 9:
         take("item_rgb", f.rgb(at(8)))
     if width == 12:
-        count, sizes, starts = f.unsigned(at(9), "blockCount", 4294967295), f.unsigned_list(at(10), "blockSizes"), f.unsigned_list(at(11), "blockStarts")
+        split = split.withColumn("_sizes", f.unsigned_list(at(10), "").value).withColumn("_starts", f.unsigned_list(at(11), "").value)
+        count, sizes, starts = f.unsigned(at(9), "blockCount", 4294967295), f.unsigned_list(at(10), "blockSizes", F.col("_sizes")), f.unsigned_list(at(11), "blockStarts", F.col("_starts"))
         columns |= {"block_count": count.value, "block_sizes": sizes.value, "relative_starts": starts.value}
 
         def counted(label: str, values: Column) -> Column:
@@ -65,7 +66,7 @@ def parse_bed(lines: DataFrame, width: int, additional_fields: int = 0) -> DataF
         keys = F.transform(F.sequence(F.lit(width + 1), F.size("_f")), lambda i: i.cast("string"))
         values = F.transform(F.slice("_f", F.lit(width + 1), F.size("_f")), lambda v: F.array(v))
         extras = F.when(short.isNull(), F.map_from_arrays(keys, values).cast(EXTRAS))
-    return split.select("_file", "_line", "_raw", *[c.alias(k) for k, c in columns.items()], extras.alias("extras"), f.first_error(not_text(F.col("_raw")), short, *errors).alias("_error"))
+    return held(split.select("_file", "_line", "_raw", *[c.alias(k) for k, c in columns.items()], extras.alias("extras"), f.first_error(not_text(F.col("_raw")), short, *errors).alias("_error")))
 
 
 def canonical(parsed: DataFrame) -> DataFrame:
