@@ -110,7 +110,7 @@ def diagnosed_gxf(lines: DataFrame, kind: str | Dialect, options: GroupOptions =
     rows = rows.withColumn("key", F.when(~F.col("_skipped"), F.col("key"))).filter("_at >= 0 AND (_skipped OR key IS NOT NULL OR _error IS NOT NULL)")
     rows = rows.withColumn("_own", F.when(F.col("key").isNull(), F.col("_line")))
     text = F.struct("_line", F.col("_raw").alias("value"))
-    built = gxf.group(gxf.checked(rows, by), by, _skipped=F.bool_or("_skipped"), _stray=F.min("_error"), lines=F.array_sort(F.collect_list(text)))
+    built = gxf.group(gxf.checked(rows, by), kind, by, _skipped=F.bool_or("_skipped"), _stray=F.min("_error"), lines=F.array_sort(F.collect_list(text)))
     said = (
         F.when(F.col("_skipped"), F.array().cast("array<string>"))
         .when(F.col("key").isNull(), F.array("_stray"))

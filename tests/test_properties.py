@@ -90,6 +90,18 @@ def test_attributes(spark, sep):
     assert not wrong, wrong[:5]
 
 
+@pytest.mark.parametrize("sep", [" ", "="])
+def test_first_value_of_an_attribute(spark, sep):
+    rng = random.Random(7)
+    parts = ["k", "k", "kk", " ", sep, "=", ";", '"', "x", "\t", "\n", "; k", "k=", 'k "', "\u0001"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(4000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for key in ("k", "k k"):
+        got = [(r.t, r.x) for r in df.select("t", attributes.first_of(F.col("t"), sep, key).alias("x")).collect()]
+        wrong = [(t, x) for t, x in got if x != next((v for k, v in plain_tokens(t, sep) if k == key), None)]
+        assert not wrong, wrong[:5]
+
+
 def plain_features(r):
     blocks = list(zip(r["block_starts"] or [], r["block_ends"] or []))[: r["block_count"] or 0]
     ex = [b for b in blocks if b[0] < b[1]] or [(r["start"], r["end"])]

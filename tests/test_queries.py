@@ -43,3 +43,9 @@ def test_interval_join_plans_as_an_equi_join(spark):
 def test_filters_and_columns_reach_the_scan(spark):
     plan = registry.QUERIES["j01_gene_map"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(o_orderstatus,F)" in plan and "o_totalprice" not in plan
+
+
+@pytest.mark.parametrize("name, part, most", [("s05_bed12_parse", "invalid blockSizes: expected unsigned", 1), ("s05_bed12_parse", "concat_ws(", 2), ("a01_group_written_gff", "invalid coordinates", 1), ("a01_group", "regexp_extract_all", 0), ("s15_gff_attributes", "regexp_extract_all", 1), ("s32_read_gtf", "invalid coordinates", 1), ("s33_read_gff", "invalid coordinates", 1)])
+def test_what_is_parsed_once_is_not_copied_into_filters(spark, name, part, most):
+    plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(part) <= most
