@@ -58,9 +58,20 @@ def _block_rules() -> Column:
     )
 
 
+def _sound() -> Column:
+    """True only where no rule is broken; false or null where one may be."""
+    start, end, ts, te = (F.col(c) for c in ("start", "end", "thick_start", "thick_end"))
+    count, starts, ends = F.col("block_count"), F.col("block_starts"), F.col("block_ends")
+    inside = lambda x: x.isNull() | ((x >= start) & (x <= end))
+    spans = F.forall(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda x: (x["s"] < x["e"]) & (x["s"] >= start) & (x["e"] <= end))
+    later = F.slice(starts, F.lit(2), F.greatest(F.size(starts), F.lit(0)))
+    apart = F.forall(F.zip_with(later, ends, lambda s, e: s.isNull() | (s >= e)), lambda ok: ok)
+    return (F.col("chrom") != "") & (start < end) & inside(ts) & inside(te) & (ts.isNull() | te.isNull() | (ts <= te)) & (count > 0) & (F.size(starts) == count) & (F.size(ends) == count) & spans & apart
+
+
 def messages() -> Column:
-    """Array of all rules' messages that a record breaks; empty for a valid one."""
-    return F.filter(F.concat(F.array(*_bounds_rules()), _block_rules()), lambda m: m.isNotNull())
+    """Array of all rules' messages that a record breaks; empty for a valid one, for which none is made."""
+    return F.when(_sound(), F.array().cast("array<string>")).otherwise(F.filter(F.concat(F.array(*_bounds_rules()), _block_rules()), lambda m: m.isNotNull()))
 
 
 def validate(records: DataFrame) -> DataFrame:
@@ -110,7 +121,7 @@ def diagnosed_gxf(lines: DataFrame, kind: str | Dialect, options: GroupOptions =
     rows = rows.withColumn("key", F.when(~F.col("_skipped"), F.col("key"))).filter("_at >= 0 AND (_skipped OR key IS NOT NULL OR _error IS NOT NULL)")
     rows = rows.withColumn("_own", F.when(F.col("key").isNull(), F.col("_line")))
     text = F.struct("_line", F.col("_raw").alias("value"))
-    built = gxf.group(gxf.checked(rows, by), kind, by, _skipped=F.bool_or("_skipped"), _stray=F.min("_error"), lines=F.array_sort(F.collect_list(text)))
+    built = gxf.group(rows, kind, by, _skipped=F.bool_or("_skipped"), _stray=F.min("_error"), lines=F.sort_array(F.collect_list(text)))
     said = (
         F.when(F.col("_skipped"), F.array().cast("array<string>"))
         .when(F.col("key").isNull(), F.array("_stray"))

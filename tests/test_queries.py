@@ -49,3 +49,13 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_what_is_parsed_once_is_not_copied_into_filters(spark, name, part, most):
     plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(part) <= most
+
+
+@pytest.mark.parametrize("name", ["l06_gtf_counts", "a01_group", "l08_whole_file", "a05_merge_attributes", "a06_name_first_line", "j03_prune_semi_join", "l04_prune_gtf", "f03_feature_filter"])
+def test_lines_are_grouped_before_the_shuffle_and_in_all_partitions(spark, name):
+    query = registry.QUERIES[name](spark, DATA)._jdf.queryExecution()
+    plan = query.optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
+    assert not [step for step in plan.splitlines() if "Window [" in step and "_hash" in step]
+    steps = query.sparkPlan().toString()
+    assert "partial_collect_list" in steps and "array_sort" not in steps
