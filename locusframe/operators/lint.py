@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from locusframe.schema import Dialect, FormatError, GroupOptions
 from locusframe.sources import gxf
 from locusframe.sources.bed import canonical, parse_bed
+from locusframe.sources.lines import held
 
 
 def _say(*parts) -> Column:
@@ -128,7 +129,7 @@ def diagnosed_gxf(lines: DataFrame, kind: str | Dialect, options: GroupOptions =
         .when(F.col("conflict_line").isNotNull(), F.array(_say("grouped lines span several chromosomes or strands at line ", F.col("conflict_line"))))
         .otherwise(messages())
     )
-    return GxfLint(built.select("_file", "_line", "key", "_skipped", said.alias("diagnostics"), "lines"))
+    return GxfLint(held(built.select("_file", "_line", "key", "_skipped", said.alias("diagnostics"), "lines")))
 
 
 def summary(diagnosed: DataFrame, name: str) -> DataFrame:
