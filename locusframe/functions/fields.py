@@ -33,12 +33,23 @@ def trimmed(text: Column) -> Column:
 
 
 def right_trimmed(text: Column) -> Column:
-    return F.when(_any(text.endswith), F.rtrim(text, F.lit(WHITE))).otherwise(text)
+    """Without ASCII white space at the end; attributes mostly end in a semicolon, which one look tells."""
+    return F.when(text.endswith(";"), text).when(_any(text.endswith), F.rtrim(text, F.lit(WHITE))).otherwise(text)
+
+
+def all_white(text: Column) -> Column:
+    """Whether there is nothing but ASCII white space; what begins with a later character is not looked at further."""
+    return ~(text >= "!") & (right_trimmed(text) == "")
 
 
 def unsigned(text: Column, label: str, most: int = (1 << 63) - 1) -> Field:
-    """Digits with an optional plus sign, no larger than ``most``."""
-    value = F.when(text.rlike(r"^\+?[0-9]+\z"), text.try_cast("bigint"))
+    """Digits with an optional plus sign, no larger than ``most``.
+
+    Spark reads a number with a sign or white space around it as well, and nothing
+    else: one that begins and ends with a digit needs no pattern.
+    """
+    digits = (text >= "0") & (text < ":") & F.substring(text, -1, 1).between("0", "9")
+    value = F.when(digits | text.rlike(r"^\+?[0-9]+\z"), text.try_cast("bigint"))
     value = value if most == (1 << 63) - 1 else F.when(value <= most, value)
     return Field(value, unread(value, text, label))
 

@@ -53,9 +53,10 @@ def scratch(spark: SparkSession, tag: str) -> str:
 def exon_rows(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """name, k, rn, f, s, en, chrom, strand, cust, status, prio of every exon.
 
-    ``spread`` is for rows that much is made of: they stay in all shuffle partitions.
-    Spark would merge these by their bytes, down to a few more than there are cores,
-    so that all wait for the last ones.
+    ``spread`` is for rows that much is made of: they stay in all shuffle partitions,
+    and have their order's least s and greatest en, ``first`` and ``last``.
+    Spark would merge the partitions by their bytes, down to a few more than there
+    are cores, so that all wait for the last ones.
     """
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", F.col("l_quantity").cast("bigint").alias("q"))
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
@@ -63,11 +64,15 @@ def exon_rows(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFra
         items = items.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
     rn = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
     e = items.withColumn("rn", rn).withColumn("s", F.col("l_orderkey") * 10000 + (F.col("rn") - 1) * 100)
-    status = F.col("o_orderstatus")
+    status, spans = F.col("o_orderstatus"), []
+    if spread:
+        # Before the join, while rows are a few numbers: a window copies its rows.
+        order, spans = W.partitionBy("l_orderkey"), ["first", "last"]
+        e = e.withColumn("first", F.min("s").over(order)).withColumn("last", F.max(F.col("s") + F.col("q")).over(order))
     return e.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.concat(F.lit("tx"), F.col("l_orderkey").cast("string")).alias("name"), F.col("l_orderkey").alias("k"), "rn", F.col("l_returnflag").alias("f"), "s", (F.col("s") + F.col("q")).alias("en"),
         F.concat(F.lit("chr"), (F.col("o_custkey") % 22 + 1).cast("string")).alias("chrom"), F.when(status == "F", "+").when(status == "O", "-").otherwise(".").alias("strand"),
-        F.col("o_custkey").cast("string").alias("cust"), status.alias("status"), F.col("o_orderpriority").alias("prio"),
+        F.col("o_custkey").cast("string").alias("cust"), status.alias("status"), F.col("o_orderpriority").alias("prio"), *spans,
     )
 
 
@@ -96,8 +101,7 @@ def lines(spark: SparkSession, sf_dir: str, more: tuple[tuple[int, int, str], ..
     ``more`` adds a line for every so-manieth order: (every, place, text). All lines of an
     order come from its exon rows, over the partitioning that numbers these.
     """
-    order = W.partitionBy("k")
-    e = exon_rows(spark, sf_dir, spread=True).withColumn("first", F.min("s").over(order)).withColumn("last", F.max("en").over(order))
+    e = exon_rows(spark, sf_dir, spread=True)
     # The kinds of lines are exploded as numbers, and a line's text is made once it is a row: arrays of texts with a filter are not compiled.
     head, i = F.col("rn") == 1, F.col("i")
     kinds = [F.when(head, 0), F.lit(1), F.when(F.col("f") != "N", 2), *[F.when(head & (F.col("k") % every == 0), 3 + n) for n, (every, _, _) in enumerate(more)]]

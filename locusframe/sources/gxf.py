@@ -32,7 +32,7 @@ def parse_gxf(lines: DataFrame, kind: str | Dialect, keep_skipped: bool = False)
     split = split.withColumn("_s", start.value).withColumn("_e", end.value)
     start, end = f.Field(F.col("_s"), f.unread(F.col("_s"), at(3), "start")), f.Field(F.col("_e"), f.unread(F.col("_e"), at(4), "end"))
     order = F.when(end.value < start.value, F.concat(F.lit("invalid coordinates: end ("), end.value.cast("string"), F.lit(") must be >= start ("), start.value.cast("string"), F.lit(")")))
-    bare = F.when(f.right_trimmed(at(8)) == "", F.lit("invalid attributes: empty"))
+    bare = F.when(f.all_white(at(8)), F.lit("invalid attributes: empty"))
     error = f.first_error(not_text(F.col("_raw")), short, start.error, end.error, order, strand.error, bare)
     return held(split.select("_file", "_line", "_raw", at(0).alias("chrom"), at(2).alias("feature"), F.greatest(start.value - 1, F.lit(0)).alias("start"), end.value.alias("end"), strand.value.alias("strand"), at(8).alias("attributes"), tokens(at(8), d.separator).alias("tokens"), error.alias("_error"), *([skipped.alias("_skipped")] if keep_skipped else [])))
 
@@ -59,8 +59,8 @@ def keyed(parsed: DataFrame, kind: str | Dialect, options: GroupOptions = GroupO
     return parsed.select("*", parent.alias("is_parent"), kept.alias("kept"), value_of(F.col("_found"), d.separator).alias("key"), F.monotonically_increasing_id().alias("_at")).drop("_found")
 
 
-# What a line is to its transcript.
-_PARENT, _EXON, _CDS, _CODON, _OTHER = range(5)
+# What a line that is no exon is to its transcript.
+_PARENT, _CDS, _CODON, _OTHER = range(4)
 
 
 def group(rows: DataFrame, kind: str | Dialect, by: tuple[str, ...] = ("_file", "key"), **more: Column) -> DataFrame:
@@ -74,37 +74,49 @@ def group(rows: DataFrame, kind: str | Dialect, by: tuple[str, ...] = ("_file",
     line), and is widened by codons.
 
     Keys are compared by ``_hash`` first: names of files and transcripts begin
-    alike, so that comparing them is slow. The attributes' texts are an aggregate of
-    their own, which goes where no extras are asked for.
+    alike, so that comparing them is slow. Exons and other lines are lists of their
+    own, so that most transcripts need no search for exons; a list is looked through
+    for lines that do not fit only if its least and greatest places differ. The
+    attributes' texts are an aggregate of their own, which goes where no extras are
+    asked for.
     """
     d = kind if isinstance(kind, Dialect) else dialect(kind)
     rows = rows.filter("key IS NOT NULL AND _at >= 0") if by == ("_file", "key") else rows
     feature, line = F.col("_kind"), F.col("_line")
-    role = F.when(F.col("is_parent"), _PARENT).when(feature == "exon", _EXON).when(feature == "cds", _CDS).when(feature.isin("start_codon", "stop_codon"), _CODON).otherwise(_OTHER)
-    place = [F.col("chrom").alias("c"), F.col("strand").alias("d")]
+    exon = ~F.col("is_parent") & (feature == "exon")
+    role = F.when(F.col("is_parent"), _PARENT).when(feature == "cds", _CDS).when(feature.isin("start_codon", "stop_codon"), _CODON).otherwise(_OTHER)
+    # The strand is one character, so that this tells the two apart.
+    place = F.concat("strand", "chrom").alias("p")
+    span = [F.col("start").alias("s"), line.alias("l"), F.col("end").alias("e")]
     merged = rows.withColumn("_hash", F.xxhash64(*by)).groupBy("_hash", *by).agg(
-        F.min_by(F.struct(*place), line).alias("_first"),
-        F.min_by("attributes", line).alias("_said"),
-        F.min("_line").alias("_line"),
-        F.sort_array(F.collect_list(F.struct(F.col("start").alias("s"), line.alias("l"), F.col("end").alias("e"), role.alias("r"), *place))).alias("_rows"),
-        F.sort_array(F.collect_list(F.struct(line.alias("l"), F.col("attributes").alias("t"), *place))).alias("_texts"),
+        F.min(F.struct(line.alias("l"), place, F.col("attributes").alias("t"))).alias("_head"),
+        F.sort_array(F.collect_list(F.when(exon, F.struct(*span, place)))).alias("_exons"),
+        F.sort_array(F.collect_list(F.when(F.coalesce(~exon, F.lit(True)), F.struct(*span, place, role.alias("r"))))).alias("_others"),
+        F.sort_array(F.collect_list(F.struct(line.alias("l"), place, F.col("attributes").alias("t")))).alias("_texts"),
         *[c.alias(k) for k, c in more.items()],
     )
-    fits = lambda x: (x["c"] == F.col("_first.c")) & (x["d"] == F.col("_first.d"))
-    of = lambda r: F.filter("_fit", lambda x: x["r"] == r)
-    merged = merged.withColumn("_fit", F.filter("_rows", fits)).withColumn("conflict_line", F.when(F.size("_fit") < F.size("_rows"), F.array_min(F.filter("_rows", lambda x: ~fits(x))["l"]))).drop("_rows")
-    merged = merged.withColumns({"_parents": of(_PARENT), "_exons": of(_EXON), "_cds": of(_CDS), "_codons": of(_CODON)})
+    # Texts tell their first place themselves, so that nothing else is gathered where extras alone are asked for.
+    first_in = lambda c: F.get("_texts", F.lit(0))["p"] if c == "_texts" else F.col("_head.p")
+    first, alike = F.col("_head.p"), lambda c: (F.size(c) == 0) | ((F.array_min(f"{c}.p") == first_in(c)) & (F.array_max(f"{c}.p") == first_in(c)))
+    fit = lambda c: F.when(alike(c), F.col(c)).otherwise(F.filter(c, lambda x: x["p"] == first_in(c)))
+    unfit = lambda c: F.when(~F.coalesce(alike(c), F.lit(False)), F.array_min(F.filter(c, lambda x: x["p"] != first_in(c))["l"]))
+    merged = merged.withColumns({"_exons": fit("_exons"), "_others": fit("_others"), "_texts": fit("_texts"), "conflict_line": F.least(unfit("_exons"), unfit("_others"))})
+    of = lambda r: F.filter("_others", lambda x: x["r"] == r)
+    merged = merged.withColumns({"_parents": of(_PARENT), "_cds": of(_CDS), "_codons": of(_CODON)})
+    ends = lambda least, most, field: least(*[most(f"{c}.{field}") for c in ("_exons", "_others")])
     merged = merged.select(
-        "*", F.coalesce(F.array_min("_parents.s"), F.array_min("_fit.s")).alias("_s"), F.coalesce(F.array_max("_parents.e"), F.array_max("_fit.e")).alias("_e"),
+        "*", F.coalesce(F.array_min("_parents.s"), ends(F.least, F.array_min, "s")).alias("_s"), F.coalesce(F.array_max("_parents.e"), ends(F.greatest, F.array_max, "e")).alias("_e"),
         F.least(F.get("_cds", F.lit(0))["s"], F.array_min("_codons.s")).alias("_low"), F.greatest(F.get("_cds", F.size("_cds") - 1)["e"], F.array_max("_codons.e")).alias("_high"),
     )
     whole, low, high = F.size("_exons") == 0, F.col("_low"), F.col("_high")
-    name = F.coalesce(*[first_of(F.col("_said"), d.separator, n) for n in NAMES], F.col("key"))
+    said = F.col("_head.t")
+    # A text without the letters of the attribute's name has no such attribute; telling that is cheaper than the pattern.
+    name = F.coalesce(*[F.when(said.contains(n), first_of(said, d.separator, n)) for n in NAMES], F.col("key"))
     # A text that was there before adds no value to a key.
-    texts = F.array_distinct(F.filter("_texts", fits)["t"])
+    texts = F.array_distinct("_texts.t")
     extras = let(F.flatten(F.transform(texts, lambda t: tokens(t, d.separator))), to_map)
     built = merged.select(
-        "_file", "key", "_line", "conflict_line", F.col("_first.c").alias("chrom"), F.col("_s").alias("start"), F.col("_e").alias("end"), name.alias("name"), F.col("_first.d").alias("strand"),
+        "_file", "key", F.col("_head.l").alias("_line"), "conflict_line", F.substr(first, F.lit(2)).alias("chrom"), F.col("_s").alias("start"), F.col("_e").alias("end"), name.alias("name"), F.substr(first, F.lit(1), F.lit(1)).alias("strand"),
         F.when(low < high, low).alias("thick_start"), F.when(low < high, high).alias("thick_end"),
         F.when(whole, 1).otherwise(F.size("_exons")).alias("block_count"),
         F.when(whole, F.array("_s")).otherwise(F.col("_exons.s")).alias("block_starts"),

@@ -115,6 +115,6 @@ def skipped_bed(raw: Column) -> Column:
 
 
 def skipped_gxf(raw: Column) -> Column:
-    """Blank lines and comments."""
+    """Blank lines and comments. What begins with a character after ``#`` is neither, and is not looked at further."""
     t = trimmed(raw)
-    return (t == "") | t.startswith("#")
+    return ~(raw >= "$") & ((t == "") | t.startswith("#"))

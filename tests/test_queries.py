@@ -59,3 +59,43 @@ def test_lines_are_grouped_before_the_shuffle_and_in_all_partitions(spark, name)
     assert not [step for step in plan.splitlines() if "Window [" in step and "_hash" in step]
     steps = query.sparkPlan().toString()
     assert "partial_collect_list" in steps and "array_sort" not in steps
+
+
+@pytest.mark.parametrize("name", ["a01_group", "a05_merge_attributes", "a06_name_first_line"])
+def test_windows_copy_only_the_rows_before_the_join(spark, name):
+    plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("Join ") < plan.index("Window [")
+
+
+def test_lists_hold_a_line_once_and_its_place_as_one_text(spark):
+    plan = registry.QUERIES["a01_group"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "concat(strand" in plan and "struct(c, chrom" not in plan
+    plan = registry.QUERIES["a05_merge_attributes"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by(" not in plan and "min(struct(" not in plan and plan.count("collect_list(") == 1
+
+
+def test_lines_that_fit_and_do_not_among_all_roles(spark):
+    from pyspark.sql import functions as F
+
+    from locusframe.sources import gxf
+    from locusframe.sources.lines import lines_of
+
+    row = lambda c, feature, s, e, d, attrs: "\t".join([c, "x", feature, str(s), str(e), ".", d, ".", attrs])
+    texts = [
+        row("chr1", "exon", 11, 20, "+", 'transcript_id "a"; tag "p"; Name "n";'),
+        row("chr1", "CDS", 12, "+18", "+", 'transcript_id "a"; tag "p"; tag "q";'),
+        row("chr2", "exon", 1, 5, "+", 'transcript_id "a"; tag "lost";'),
+        row("chr1", "CDS", "013", 90, "-", 'transcript_id "a";'),
+        row("chr1", "exon", 31, 40, "+", 'transcript_id "a"; tag "q" ; tag "r"'),
+        row("chr1", "exon", " 31", 40, "+", 'transcript_id "a"; tag "unread"'),
+        row("chr1", "exon", 31, "40\u007f", "+", 'transcript_id "a"; tag "unread"'),
+        "  # transcript_id",
+        row("c", "transcript", 1, 9, "?", 'transcript_id "b"'),
+        row("c", "exon", 3, 4, ".", 'transcript_id "b"; tag "\u0001";'),
+    ]
+    lines = lines_of(spark.createDataFrame(list(enumerate(texts, 1)), "line long, value string"))
+    got = {r["key"]: r for r in gxf.transcripts(lines, "gtf").withColumn("tag", F.col("extras")["tag"]).collect()}
+    a, b = got["a"], got["b"]
+    assert (a["chrom"], a["strand"], a["name"], a["start"], a["end"], a["_line"], a["conflict_line"]) == ("chr1", "+", "n", 10, 40, 1, 3)
+    assert (a["block_starts"], a["block_ends"], a["thick_start"], a["thick_end"], a["tag"]) == ([10, 30], [20, 40], 11, 18, ["p", "q", "r"])
+    assert (b["chrom"], b["strand"], b["start"], b["end"], b["block_starts"], b["tag"], b["conflict_line"]) == ("c", ".", 0, 9, [2], ["\u0001"], None)
