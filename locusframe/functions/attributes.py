@@ -33,9 +33,22 @@ def tokens(text: Column, separator: str) -> Column:
     return F.when(text.rlike(f"[{_PART}-{_CLOSE}]"), _matched(tail, pattern)).otherwise(_marked(tail, pattern))
 
 
+def tokens_of_all(texts: Column, separator: str) -> Column:
+    """(k, v) of the attributes of all texts in order. One that is written alike in several texts is there once at most."""
+    pattern = GRAMMAR.replace("SEP", separator)
+    pieces = F.array_distinct(F.flatten(F.transform(texts, lambda t: _pieces(right_trimmed(t), pattern))))
+    return F.when(F.exists(texts, lambda t: t.rlike(f"[{_PART}-{_CLOSE}]")), F.flatten(F.transform(texts, lambda t: tokens(t, separator)))).otherwise(_cut(pieces))
+
+
 def _marked(tail: Column, pattern: str) -> Column:
-    marked = F.regexp_replace(tail, pattern, f"{_OPEN}$1{_PART}$2$3{_PART}$4{_PART}$0{_CLOSE}")
-    pieces = F.split(marked, _CLOSE, -1)
+    return _cut(_pieces(tail, pattern))
+
+
+def _pieces(tail: Column, pattern: str) -> Column:
+    return F.split(F.regexp_replace(tail, pattern, f"{_OPEN}$1{_PART}$2$3{_PART}$4{_PART}$0{_CLOSE}"), _CLOSE, -1)
+
+
+def _cut(pieces: Column) -> Column:
     parts = F.transform(pieces, lambda p: F.split(F.substring_index(p, _OPEN, -1), _PART, -1))
     found = F.filter(parts, lambda a: (F.size(a) == 4) & (F.get(a, F.lit(3)) != ""))
     at = lambda a, i: F.get(a, F.lit(i))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from locusframe.functions import fields as f
 from locusframe.functions.arrays import let
-from locusframe.functions.attributes import first_of, found_of, to_map, tokens, value_of
+from locusframe.functions.attributes import first_of, found_of, to_map, tokens, tokens_of_all, value_of
 from locusframe.schema import CHILD_FEATURES, RECORD_COLUMNS, Dialect, FormatError, GroupOptions, dialect
 from locusframe.sources.lines import held, not_text, read_lines, skipped_gxf
 
@@ -114,7 +114,7 @@ def group(rows: DataFrame, kind: str | Dialect, by: tuple[str, ...] = ("_file",
     name = F.coalesce(*[F.when(said.contains(n), first_of(said, d.separator, n)) for n in NAMES], F.col("key"))
     # A text that was there before adds no value to a key.
     texts = F.array_distinct("_texts.t")
-    extras = let(F.flatten(F.transform(texts, lambda t: tokens(t, d.separator))), to_map)
+    extras = let(tokens_of_all(texts, d.separator), to_map)
     built = merged.select(
         "_file", "key", F.col("_head.l").alias("_line"), "conflict_line", F.substr(first, F.lit(2)).alias("chrom"), F.col("_s").alias("start"), F.col("_e").alias("end"), name.alias("name"), F.substr(first, F.lit(1), F.lit(1)).alias("strand"),
         F.when(low < high, low).alias("thick_start"), F.when(low < high, high).alias("thick_end"),
