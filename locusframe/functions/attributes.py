@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -70,29 +72,35 @@ def _matched(tail: Column, pattern: str) -> Column:
 _PASSED = r'[ \t\n\f\r]*+[^SEP]*+SEP *+(?:"[^"]*+(?:"[^;]*+(?:;|\z)|\z)|[^;]*+(?:;|\z))'
 
 
+# Fixed value: keys that the pattern looks for; others are looked up among all attributes.
+_PLAIN = re.compile(r"[A-Za-z0-9_.-]+")
+
+
 def found_of(text: Column, separator: str, key: str) -> Column:
     """The first attribute with this key, from the last character of the key on; empty without it.
 
     One pass of a pattern over the attributes up to that one; the others are not built.
     To be kept in a column for ``value_of``, which names it several times.
     """
-    if not re.fullmatch(r"[A-Za-z0-9_.-]+", key):
+    if not _PLAIN.fullmatch(key):
         value = F.get(F.filter(tokens(text, separator), lambda t: t["k"] == key), F.lit(0))["v"]
         return F.coalesce(F.concat(F.lit(f'_{separator}"'), value), F.lit(""))
     pattern = rf'\A(?>{_PASSED})*?[ \t\n\f\r]*+{re.escape(key[:-1])}({re.escape(key[-1])}(?: *?SEP *+(?:"[^"]*+|[^;]*+)|\z))'.replace("SEP", separator)
     return F.regexp_extract(right_trimmed(text), pattern, 1)
 
 
-def value_of(found: Column, separator: str) -> Column:
-    """The value in what ``found_of`` gave; null where that is empty."""
+def value_of(found: Column, separator: str, *keys: str) -> Column:
+    """The value in what ``found_of`` gave; null where that is empty. If ``keys`` are those that it looked for, one look tells a quoted value."""
+    marks = sorted({f'{key[-1] if _PLAIN.fullmatch(key) else "_"}{separator}"' for key in keys})
     rest = F.ltrim(F.substr(found, F.lit(2)))
     value = rest if separator == " " else F.ltrim(F.substr(rest, F.lit(len(separator) + 1)))
-    return F.when(found != "", F.when(value.startswith('"'), F.substr(value, F.lit(2))).otherwise(F.rtrim(value)))
+    value = F.when(found != "", F.when(value.startswith('"'), F.substr(value, F.lit(2))).otherwise(F.rtrim(value)))
+    return F.when(reduce(or_, map(found.startswith, marks)), F.substr(found, F.lit(len(separator) + 3))).otherwise(value) if marks else value
 
 
 def first_of(text: Column, separator: str, key: str) -> Column:
     """The value of the first of ``tokens(text, separator)`` with this key; null without it."""
-    return let(found_of(text, separator, key), lambda found: value_of(found, separator))
+    return let(found_of(text, separator, key), lambda found: value_of(found, separator, key))
 
 
 def to_map(pairs: Column) -> Column:

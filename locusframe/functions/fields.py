@@ -48,7 +48,7 @@ def unsigned(text: Column, label: str, most: int = (1 << 63) - 1) -> Field:
     Spark reads a number with a sign or white space around it as well, and nothing
     else: one that begins and ends with a digit needs no pattern.
     """
-    digits = (text >= "0") & (text < ":") & F.substring(text, -1, 1).between("0", "9")
+    digits = (text >= "0") & (text < ":") & F.lit("0123456789").contains(F.substring(text, -1, 1))
     value = F.when(digits | text.rlike(r"^\+?[0-9]+\z"), text.try_cast("bigint"))
     value = value if most == (1 << 63) - 1 else F.when(value <= most, value)
     return Field(value, unread(value, text, label))

@@ -54,7 +54,7 @@ def exon_rows(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFra
     """name, k, rn, f, s, en, chrom, strand, cust, status, prio of every exon.
 
     ``spread`` is for rows that much is made of: they stay in all shuffle partitions,
-    and have their order's least s and greatest en, ``first`` and ``last``.
+    and have their order's greatest en, ``last``; its least s is that of the first one.
     Spark would merge the partitions by their bytes, down to a few more than there
     are cores, so that all wait for the last ones.
     """
@@ -67,8 +67,8 @@ def exon_rows(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFra
     status, spans = F.col("o_orderstatus"), []
     if spread:
         # Before the join, while rows are a few numbers: a window copies its rows.
-        order, spans = W.partitionBy("l_orderkey"), ["first", "last"]
-        e = e.withColumn("first", F.min("s").over(order)).withColumn("last", F.max(F.col("s") + F.col("q")).over(order))
+        spans = ["last"]
+        e = e.withColumn("last", F.max(F.col("s") + F.col("q")).over(W.partitionBy("l_orderkey")))
     return e.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.concat(F.lit("tx"), F.col("l_orderkey").cast("string")).alias("name"), F.col("l_orderkey").alias("k"), "rn", F.col("l_returnflag").alias("f"), "s", (F.col("s") + F.col("q")).alias("en"),
         F.concat(F.lit("chr"), (F.col("o_custkey") % 22 + 1).cast("string")).alias("chrom"), F.when(status == "F", "+").when(status == "O", "-").otherwise(".").alias("strand"),
@@ -108,7 +108,8 @@ def lines(spark: SparkSession, sf_dir: str, more: tuple[tuple[int, int, str], ..
     each = e.withColumn("i", F.explode(F.array(*kinds))).filter("i IS NOT NULL")
     place, text = F.when(i == 0, 0).when(i == 1, F.col("rn") * 2).when(i == 2, F.col("rn") * 2 + 1), None
     feature = F.when(i == 0, "transcript").when(i == 1, "exon").otherwise("CDS")
-    start, end = F.when(i == 0, F.col("first")).otherwise(F.col("s")), F.when(i == 0, F.col("last")).otherwise(F.col("en"))
+    # The transcript line comes of the first exon, whose s is the least.
+    start, end = F.col("s"), F.when(i == 0, F.col("last")).otherwise(F.col("en"))
     own = F.when(i == 0, F.concat(F.lit('gene_name "N'), F.col("cust"), F.lit('";'))).otherwise(F.concat(F.lit('tag "'), F.col("f"), F.lit('"; tag "x";')))
     attributes = F.concat(F.lit('gene_id "g'), F.col("cust"), F.lit('"; transcript_id "'), F.col("name"), F.lit('"; '), own)
     value = F.concat_ws("\t", "chrom", F.lit("src"), feature, (start + 1).cast("string"), end.cast("string"), F.lit("."), "strand", F.lit("."), attributes)

@@ -56,7 +56,7 @@ def keyed(parsed: DataFrame, kind: str | Dialect, options: GroupOptions = GroupO
     found = id_of(d.child_attribute)
     found = found if d.parent_attribute == d.child_attribute else F.when(parent, id_of(d.parent_attribute)).otherwise(found)
     parsed = parsed.withColumn("_found", F.when(kept & F.col("_error").isNull(), found))
-    return parsed.select("*", parent.alias("is_parent"), kept.alias("kept"), value_of(F.col("_found"), d.separator).alias("key"), F.monotonically_increasing_id().alias("_at")).drop("_found")
+    return parsed.select("*", parent.alias("is_parent"), kept.alias("kept"), value_of(F.col("_found"), d.separator, d.parent_attribute, d.child_attribute).alias("key"), F.monotonically_increasing_id().alias("_at")).drop("_found")
 
 
 # What a line that is no exon is to its transcript.

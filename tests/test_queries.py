@@ -67,6 +67,49 @@ def test_windows_copy_only_the_rows_before_the_join(spark, name):
     assert 0 < plan.index("Join ") < plan.index("Window [")
 
 
+@pytest.mark.parametrize("name", ["a01_group", "a06_name_first_line"])
+def test_lines_are_made_of_two_windows_and_a_number_s_end_is_looked_at_once(spark, name):
+    plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 2 and plan.count("substring(_f") == 2
+
+
+def test_the_transcript_line_reaches_from_the_least_start_to_the_greatest_end(spark, tmp_path):
+    from locusframe.plans import bridge
+
+    items = [(1, n, 7, 7, q, 1.0, "N") for n, q in ((3, 4.0), (1, 900.0), (2, 5.0))] + [(2, 1, 7, 7, 6.0, 1.0, "R"), (2, 1, 6, 7, 8.0, 1.0, "N")]
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 5, "F", "1"), (2, 6, "O", "2")], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted((r["_line"], *r["_raw"].split("\t")[2:5]) for r in bridge.lines(spark, str(tmp_path)).collect())
+    one = [(1000, "transcript", "10001", "10900"), (1002, "exon", "10001", "10900"), (1004, "exon", "10101", "10105"), (1006, "exon", "10201", "10204")]
+    assert got == one + [(2000, "transcript", "20001", "20106"), (2002, "exon", "20001", "20008"), (2004, "exon", "20101", "20106"), (2005, "CDS", "20101", "20106")]
+
+
+@pytest.mark.parametrize("separator, key", [(" ", "id"), ("=", "id"), (" ", "i+d"), ("=", "i+d")])
+def test_a_value_is_the_same_with_and_without_a_look_at_its_quote(spark, separator, key):
+    from pyspark.sql import functions as F
+
+    from locusframe.functions.attributes import found_of, tokens, value_of
+
+    quoted = [f'{key}{separator}"a b";', f'x{separator}"{key}"; {key}{separator}  "a"; {key}{separator}"late"', f'{key} {separator}"a;b"', f'{key}{separator}"";', f'{key}{separator}"open', f'{key}{separator}"\u00e9 " ; x{separator}1', f'{key}{separator}" a"']
+    other = [f'{key}{separator}a"b" ;', f"{key}{separator};", f"x{separator}1; {key}", f'x{separator}"1 {key}{separator}2"', f'x{key}{separator}"1";', "", None]
+    rows = spark.createDataFrame([(t,) for t in quoted + other], "t string").withColumn("f", found_of(F.col("t"), separator, key)).coalesce(1)
+    first = F.get(F.filter(tokens(F.col("t"), separator), lambda x: x["k"] == key), F.lit(0))["v"]
+    for r in rows.select("t", value_of(F.col("f"), separator, "other", key).alias("a"), value_of(F.col("f"), separator).alias("b"), first.alias("c")).collect():
+        assert r["a"] == r["b"] == r["c"], r
+
+
+@pytest.mark.parametrize("text", ["7", "07", "+7", "7 ", " 7", "7\u007f", "7a", "7.5", "", "+", "7\u0663", "9223372036854775807", "9223372036854775808", None])
+def test_unsigned_numbers_end_with_a_digit(spark, text):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from locusframe.functions.fields import unsigned
+
+    read = int(text) if text is not None and re.fullmatch(r"\+?[0-9]+", text) and int(text) < 1 << 63 else None
+    assert spark.createDataFrame([(text,)], "t string").select(unsigned(F.col("t"), "x").value).first()[0] == read
+
+
 def test_lists_hold_a_line_once_and_its_place_as_one_text(spark):
     plan = registry.QUERIES["a01_group"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "concat(strand" in plan and "struct(c, chrom" not in plan
